@@ -1,3 +1,10 @@
 """Associative graph memory, re-expressed as set-oriented Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors with their code, so nothing needs to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
