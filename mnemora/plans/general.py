@@ -16,7 +16,7 @@ QUERIES = {
 SQL = {
     "p4_found": """
         with r as (select distinct graph_id, key, snapshot_no, name, kind, confidence,
-                          list_sort(list_distinct(list_filter(coalesce(aliases, []), x -> x is not null))) as al
+                          list_sort(list_distinct(list_filter(coalesce(aliases, []), lambda x: x is not null))) as al
                    from node_snapshots where graph_id is not null and snapshot_no is not null),
         d as (select graph_id, snapshot_no, lag(snapshot_no) over (partition by graph_id order by snapshot_no) as prev
               from (select distinct graph_id, snapshot_no from r)),
