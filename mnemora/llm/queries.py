@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import cooccur, encode, survivor
+from mnemora.llm import cooccur, encode, leak, survivor
 from mnemora.runtime import table
 
 QUERIES = {
@@ -12,6 +12,9 @@ QUERIES = {
     "p3_truth": lambda spark, d: survivor.true_values(table(spark, d, "node_records")),
     "p3_fused": lambda spark, d: survivor.fused(table(spark, d, "node_records")),
     "p6_ids": lambda spark, d: encode.corpus_ids(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id"),
+    "p7_passages": lambda spark, d: leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_clean": lambda spark, d: leak.clean_documents(table(spark, d, "documents").select("doc_id", "source", "n_chars", "text"), table(spark, d, "eval_items")).drop("text"),
 }
 
 SQL = {
