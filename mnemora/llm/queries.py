@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import cooccur, encode, leak, survivor
+from mnemora.llm import cooccur, encode, leak, quality, survivor
 from mnemora.runtime import table
 
 QUERIES = {
@@ -15,6 +15,8 @@ QUERIES = {
     "p7_found": lambda spark, d: leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id"),
     "p7_passages": lambda spark, d: leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p7_clean": lambda spark, d: leak.clean_documents(table(spark, d, "documents").select("doc_id", "source", "n_chars", "text"), table(spark, d, "eval_items")).drop("text"),
+    "p8_found": lambda spark, d: quality.not_prose(table(spark, d, "documents"), table(spark, d, "doc_labels")),
+    "p8_statistics": lambda spark, d: quality.outlierness(table(spark, d, "documents")),
 }
 
 SQL = {
