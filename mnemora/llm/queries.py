@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mnemora.llm import cooccur, encode, leak, quality, survivor
+from mnemora.llm import cooccur, encode, leak, names, quality, survivor
 from mnemora.runtime import table
 
 QUERIES = {
+    "p1_found": lambda spark, d: names.same_entity_pairs(table(spark, d, "nodes")),
+    "p1_entities": lambda spark, d: names.attributed(table(spark, d, "nodes")),
     "p2_found": lambda spark, d: cooccur.found_pairs(table(spark, d, "read_trace"), table(spark, d, "nodes")),
     "p2_surprise": lambda spark, d: cooccur.surprising_pairs(cooccur.read_baskets(table(spark, d, "read_trace")).unionByName(cooccur.episode_baskets(table(spark, d, "nodes")))),
     "p3_found": lambda spark, d: survivor.survivors(table(spark, d, "node_records")),
