@@ -1,4 +1,4 @@
 """Named queries over the driver's tables, each with its plain-SQL twin where SQL can express it."""
 
 #: Modules of this package that define QUERIES and SQL.
-MODULES = ("general",)
+MODULES = ("general", "scalar", "memory")
