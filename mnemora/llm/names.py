@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,6 +65,8 @@ _KEPT_CAMEL = re.compile(r"\b(Mc|Mac|De|Di|La|Le|Van|O)(?=[A-Z])")
 
 def plain(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.replace("ł", "l").replace("Ł", "L").replace("ø", "o").replace("Ø", "O").replace("ß", "ss")) if not unicodedata.combining(c)).casefold()
 
 
@@ -119,8 +122,8 @@ def parse(kind: str, form: str) -> tuple[str, int] | None:
             return None
         if len(words) > 1 and len(words[-1]) <= 2 < len(words[0]):
             words = words[1:] + words[:1] if len(words) == 2 else words
-        level = 1 if len(words) == 1 else 2 if len(words[0]) <= 2 else 3
-        return " ".join(words) + "|" + generation, level
+        norm = " ".join(words) + "|" + generation
+        return norm, level_of(kind, norm)
     raw = re.sub(r"\([^)]*\)", " ", raw)
     if re.fullmatch(r"[A-Z]{3,7}", raw.strip()):
         return "acr:" + raw.strip().lower(), 1
@@ -138,32 +141,43 @@ def parse(kind: str, form: str) -> tuple[str, int] | None:
     return (" ".join(words) + "|", 3 if len(words) > 1 else 1) if words else None
 
 
-def shortened(word: str) -> set[str]:
-    """The word and all ways to leave one letter out."""
-    return {word} | ({word[:k] + word[k + 1 :] for k in range(len(word))} if len(word) > 3 else set())
+@lru_cache(100_000)
+def pieces(word: str) -> frozenset[str]:
+    """Beginnings and ends of a word, so long that one slip leaves one of them as it was.
+
+    Their size follows the word's length; words at a change of size have pieces of both, since a slip may change the
+    length by one.
+    """
+    n = len(word)
+    if n < 4:
+        return frozenset({"=" + word})
+    sizes = {2 if m <= 5 else 3 if m <= 8 else 4 for m in (n - 1, n, n + 1)}
+    return frozenset({"<" + word[:k] for k in sizes} | {">" + word[-k:] for k in sizes})
 
 
 def initials(word: str) -> set[str]:
+    """The initial of a word and of the names it may be short for."""
     return {word[0]} | {f[0] for f in _FULL.get(word, ())}
 
 
-def blocking(kind: str, norm: str) -> tuple[list[str], list[str], list[str]]:
-    """Keys to meet spellings of several words; keys under which single words look for them; keys under which they are found."""
-    if norm.startswith(("self:", "role:")):
-        return [], [], []
+def blocking(kind: str, norm: str, roles: str) -> set[str]:
+    """Keys of a spelling in the roles asked for: ``b`` to meet others of several words (a piece of one word with the
+    initial of the other), ``s`` for single words and acronyms to seek, ``f`` to be found by those."""
     if norm.startswith("acr:"):
-        return [], ["acr:" + norm[4:]], []
+        return {norm} if "s" in roles else set()
     words = norm.partition("|")[0].split()
     if len(words) == 1:
-        return [], [f"w:{d}" for d in shortened(words[0])], []
+        return set(pieces(words[0])) if "s" in roles else set()
     a, b = (words[0], words[-1]) if kind == "PERSON" else (words[0], words[1])
-    both = {f"{d}|{i}" for w, o in ((a, b), (b, a)) for d in shortened(w) for i in initials(o)}
-    found = {f"w:{d}" for w in ({a, b} if kind == "PERSON" else {a}) for d in shortened(w)}
-    if kind == "PERSON":
-        found |= {f"w:{s}" for s in _SHORT.get(a, ())}
-    if kind == "ORG":
-        found.add("acr:" + "".join(w[0] for w in words))
-    return sorted(both), [], sorted(found)
+    keys: set[str] = set()
+    if "b" in roles:
+        ends = ((a, b), (b, a)) if kind == "PERSON" else ((a, b), (b, a), (a, words[-1]))
+        keys |= {f"{p}{i}" for w, o in ends for p in pieces(w) for i in initials(o)}
+    if "f" in roles:
+        keys |= pieces(a) | (pieces(b) if kind == "PERSON" else {"acr:" + "".join(w[0] for w in words)})
+        if kind == "PERSON":
+            keys |= {p for w in _SHORT.get(a, ()) for p in pieces(w)}
+    return keys
 
 
 def word_slip(a: str, b: str) -> float | None:
@@ -252,123 +266,149 @@ def likelihood(kind: str, v: str, c: str) -> tuple[float, bool] | None:
     return got if got is not None and got[0] > UNKNOWN else None
 
 
-GROUP = ["graph_id", "kind"]
+def level_of(kind: str, norm: str) -> int:
+    """How much a spelling tells: 3 a full name, 2 initials, 1 a single word or an acronym, 0 a role or oneself."""
+    if norm.startswith(("self:", "role:")):
+        return 0
+    words = norm.partition("|")[0].split()
+    return 1 if norm.startswith("acr:") or len(words) == 1 else 2 if kind == "PERSON" and len(words[0]) <= 2 else 3
+
+
+def spelling_id(norm: str = "norm"):
+    """Number of a spelling inside its graph (64 bits of its kind and normal form)."""
+    return F.xxhash64("kind", norm)
 
 
 def typed_forms(nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """``graph_id, kind, id, is_name, norm, level``: the normal form of each node's name and aliases."""
+    """``graph_id, kind, id, norm, level, name_norm, name_level``: a node's forms (``norm``), the name's own among them."""
     graph, ident = dict(nodes.dtypes)["graph_id"], dict(nodes.dtypes)["id"]
     named = nodes.where(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & F.col("graph_id").isNotNull())
-    first = F.array(F.struct(F.col("name").alias("form"), F.lit(True).alias("is_name")))
-    others = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("form"), F.lit(False).alias("is_name")))
-    forms = named.select(*GROUP, "id", F.explode(F.concat(first, others)).alias("f")).select(*GROUP, "id", "f.form", "f.is_name").where("form is not null").distinct()
+    rows = named.select("graph_id", "kind", "id", "name", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("aliases")).distinct()
+    columns = ["graph_id", "kind", "id", "norm", "level", "name_norm", "name_level"]
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [parse(k, f) for k, f in zip(pdf["kind"], pdf["form"], strict=True)]
-            pdf["norm"], pdf["level"] = [g and g[0] for g in got], [g[1] if g else -1 for g in got]
-            yield pdf[["graph_id", "kind", "id", "is_name", "norm", "level"]]
+            out = []
+            for g, k, i, name, aliases in pdf.itertuples(index=False, name=None):
+                own = parse(k, name or "") or ("", -1)
+                forms = {own} | {f for a in aliases for f in [parse(k, a)] if f}
+                out += [(g, k, i, n, level, *own) for n, level in sorted(forms) if n]
+            yield pd.DataFrame(out, columns=columns)
 
-    return forms.mapInPandas(normal, f"graph_id {graph}, kind string, id {ident}, is_name boolean, norm string, level int").where("norm is not null")
+    return rows.mapInPandas(normal, f"graph_id {graph}, kind string, id {ident}, norm string, level int, name_norm string, name_level int")
 
 
 def scored_pairs(spellings: DataFrame) -> DataFrame:
-    """``graph_id, kind, a, b, score, weak``: spellings of a graph that may stand for the same one, each pair once."""
+    """``graph_id, v, c, level, score, weak``: spellings that may stand for the same one, each pair once.
+
+    ``v`` is the one that tells less, ``level`` how much.
+    """
     graph = dict(spellings.dtypes)["graph_id"]
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for g, k, n in zip(pdf["graph_id"], pdf["kind"], pdf["norm"], strict=True):
-                for role, keys in zip("bsf", blocking(k, n), strict=True):
-                    rows += [(g, k, n, role, key) for key in keys]
-            yield pd.DataFrame(rows, columns=["graph_id", "kind", "norm", "role", "key"])
-
-    keys = checkpointed(spellings.select(*GROUP, "norm").mapInPandas(keyed, f"graph_id {graph}, kind string, norm string, role string, key string"))
-    both, seek, found = (keys.where(F.col("role") == r).drop("role") for r in "bsf")
-    meet = both.withColumnRenamed("norm", "a").join(both.withColumnRenamed("norm", "b"), [*GROUP, "key"]).where("a < b").select(*GROUP, "a", "b")
-    word = seek.withColumnRenamed("norm", "a").join(found.withColumnRenamed("norm", "b"), [*GROUP, "key"])
-    singles = seek.withColumnRenamed("norm", "a").join(seek.withColumnRenamed("norm", "b"), [*GROUP, "key"]).where("a < b")
-    pairs = meet.unionByName(word.select(*GROUP, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(singles.select(*GROUP, "a", "b")).distinct()
+    def keys_of(roles: str) -> DataFrame:
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(g, k, n, key) for g, k, n in zip(pdf["graph_id"], pdf["kind"], pdf["norm"], strict=True) for key in blocking(k, n, roles)]
+                yield pd.DataFrame(rows, columns=["graph_id", "kind", "norm", "key"])
+
+        level = {"b": "level > 1", "s": "level = 1"}.get(roles, "true")
+        made = spellings.where(level).select("graph_id", "kind", "norm").mapInPandas(keyed, f"graph_id {graph}, kind string, norm string, key string")
+        # A 32-bit hash: what it mixes up inside a graph is told apart by the score.
+        return made.select("graph_id", F.hash("kind", "key").alias("key"), F.col("kind") == "PERSON", F.col("norm")).toDF("graph_id", "key", "person", "norm")
+
+    def meeting(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+        a, b = left.withColumnRenamed("norm", "a"), right.withColumnRenamed("norm", "b")
+        met = a.join(b, ["graph_id", "key", "person"]).where(condition)
+        return met.select("graph_id", F.when(F.col("person"), "PERSON").otherwise("ORG").alias("kind"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    several, single = keys_of("b"), keys_of("s")
+    pairs = meeting(several, several, "a < b").unionByName(meeting(single, keys_of("sf"), "a <> b")).distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [likelihood(k, a, b) for k, a, b in zip(pdf["kind"], pdf["a"], pdf["b"], strict=True)]
-            pdf["score"], pdf["weak"] = [g[0] if g else None for g in got], [bool(g and g[1]) for g in got]
-            yield pdf[pdf["score"].notna()]
+            out = []
+            for g, k, a, b in pdf[["graph_id", "kind", "a", "b"]].itertuples(index=False, name=None):
+                if (got := likelihood(k, a, b)) is not None:
+                    la, lb = level_of(k, a), level_of(k, b)
+                    less, more = (a, b) if (la, len(a), a) <= (lb, len(b), b) else (b, a)
+                    out.append((g, k, less, more, min(la, lb), got[0], got[1]))
+            yield pd.DataFrame(out, columns=["graph_id", "kind", "v", "c", "level", "score", "weak"])
 
-    return pairs.mapInPandas(score, f"graph_id {graph}, kind string, a string, b string, score double, weak boolean")
+    found = pairs.mapInPandas(score, f"graph_id {graph}, kind string, v string, c string, level int, score double, weak boolean")
+    return found.select("graph_id", spelling_id("v").alias("v"), spelling_id("c").alias("c"), "level", "score", "weak")
 
 
-def components(members: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """``graph_id, kind, norm, entity``: the least spelling of each connected component, by repeated minimum of neighbours."""
-    labels = members.select(*GROUP, "norm", F.col("norm").alias("entity"))
-    ways = checkpointed(edges.select(*GROUP, "a", "b").unionByName(edges.select(*GROUP, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def components(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """``graph_id, sid, entity`` of all ends of ``edges`` (``graph_id, a, b``): the least number of each connected component.
+
+    Repeated minimum of neighbours and of the neighbour's own label; only linked spellings take part.
+    """
+    ways = checkpointed(edges.select("graph_id", "a", "b").unionByName(edges.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = ways.groupBy("graph_id", F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("graph_id", "sid", F.least("sid", "m").alias("entity"))
     for _ in range(rounds):
-        heard = ways.join(labels.withColumnRenamed("norm", "b"), [*GROUP, "b"]).groupBy(*GROUP, F.col("a").alias("norm")).agg(F.min("entity").alias("told"))
-        after = checkpointed(labels.join(heard, [*GROUP, "norm"], "left").select(*GROUP, "norm", F.least("entity", "told").alias("entity"), (F.col("told") < F.col("entity")).alias("moved")))
+        heard = ways.join(labels.withColumnRenamed("sid", "b"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("sid")).agg(F.min("entity").alias("told"))
+        after = checkpointed(labels.join(heard, ["graph_id", "sid"], "left").select("graph_id", "sid", F.least("entity", "told").alias("entity"), (F.col("told") < F.col("entity")).alias("moved")))
         labels = after.drop("moved")
         if after.where("moved").isEmpty():
             break
     return labels
 
 
-def _attach(entities: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Entities after attaching those that evidence (``graph_id, kind, entity, target, score``) sends to one other entity alone."""
-    per = evidence.where("entity <> target").groupBy(*GROUP, "entity", "target").agg(F.max("score").alias("score"))
-    w = Window.partitionBy(*GROUP, "entity")
-    weight = F.exp("score")
-    best = per.withColumn("share", weight / (F.sum(weight).over(w) + F.lit(float(pow(2.718281828, UNKNOWN))))).where(F.col("share") >= SURE).select(*GROUP, "entity", "target")
-    return entities.join(best, [*GROUP, "entity"], "left").select(*GROUP, "norm", F.coalesce("target", "entity").alias("entity"))
+def _attach(links: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``links`` (``graph_id, a, b``) with those entities added that the evidence (``v, c, score``) sends to one other entity alone."""
+
+    def entity_of(df: DataFrame, spelling: str, entity: str) -> DataFrame:
+        known = entities.select("graph_id", F.col("sid").alias(spelling), F.col("entity").alias("_e"))
+        return df.join(known, ["graph_id", spelling], "left").withColumn(entity, F.coalesce("_e", spelling)).drop("_e")
+
+    seen = entity_of(entity_of(evidence, "v", "ev"), "c", "ec").where("ev <> ec").groupBy("graph_id", "ev", "ec").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("graph_id", "ev")
+    share = F.exp("score") / (F.sum(F.exp("score")).over(w) + F.exp(F.lit(UNKNOWN)))
+    sure = seen.withColumn("share", share).where(F.col("share") >= SURE)
+    return links.unionByName(sure.select("graph_id", F.col("ev").alias("a"), F.col("ec").alias("b")))
 
 
 def attributed(nodes: DataFrame, kinds: tuple[str, ...] = ("PERSON", "ORG")) -> DataFrame:
-    """The entity of each named node: distinct ``graph_id, kind, id, norm, entity``.
+    """The entity of each named node: distinct ``graph_id, kind, id, entity``.
 
-    Defined cases: blank and null names or aliases aren't spellings (a node without any stands alone and gives no row
-    here); repeated rows count once; spellings without letters or digits are ignored; a role that several people of a
-    graph carry, and a part of a name that fits several entities, is attached to none; an empty table gives no rows.
+    Defined cases: blank and null names or aliases aren't spellings (a node without a name gives no row); repeated
+    rows count once; spellings without letters or digits are ignored; a role that several people of a graph carry, and
+    a part of a name that fits several entities, is attached to none; an empty table gives no rows.
     """
-    forms = checkpointed(typed_forms(nodes, kinds))
-    spellings = forms.groupBy(*GROUP, "norm", "level").agg(F.countDistinct("id").alias("uses")).where("level > 0")
-    spellings = checkpointed(spellings)
-    pairs = checkpointed(scored_pairs(spellings))
-    # Prior of a spelling: its uses and the spellings that it explains without doubt.
+    typed = typed_forms(nodes, kinds)
+    # Kept small: the texts are parsed a second time for the spellings rather than stored.
+    forms = checkpointed(typed.select("graph_id", "kind", "id", "level", "name_level", spelling_id().alias("sid"), spelling_id("name_norm").alias("name_sid")))
+    uses = checkpointed(typed.where("level > 0").groupBy("graph_id", "kind", "norm", "level").agg(F.count(F.lit(1)).alias("uses")))
+    pairs = checkpointed(scored_pairs(uses))
+    # Prior of a spelling: its uses and the spellings that it explains without doubt. Only spellings in pairs need one.
     sure = pairs.where("not weak")
-    ways = sure.select(*GROUP, F.col("a").alias("norm"), F.col("b").alias("other"), "score").unionByName(sure.select(*GROUP, F.col("b").alias("norm"), F.col("a").alias("other"), "score"))
-    explained = ways.groupBy(*GROUP, "norm").agg(F.count(F.lit(1)).alias("explained"))
-    prior = spellings.join(explained, [*GROUP, "norm"], "left").select(*GROUP, "norm", "level", (F.col("uses") + F.coalesce("explained", F.lit(0))).alias("prior"))
-    own, other = prior.select(*GROUP, "norm", F.col("prior").alias("p0")), prior.select(*GROUP, F.col("norm").alias("other"), F.col("prior").alias("p1"))
-    higher = ways.join(own, [*GROUP, "norm"]).join(other, [*GROUP, "other"]).where("p1 > p0 or (p1 = p0 and other < norm)")
-    best = higher.groupBy(*GROUP, "norm").agg(F.max(F.struct((F.log("p1") + F.col("score")).alias("posterior"), "other")).alias("m"))
-    attached = best.select(*GROUP, F.col("norm").alias("a"), F.col("m.other").alias("b"))
-    # A full alias names the same one as the node's name.
-    name = forms.where("is_name and level = 3").select(*GROUP, "id", F.col("norm").alias("a"))
-    alias = forms.where("not is_name and level = 3").select(*GROUP, "id", F.col("norm").alias("b"))
-    entities = components(prior, attached.unionByName(name.join(alias, [*GROUP, "id"]).where("a <> b").select(*GROUP, "a", "b")))
-
-    weak = pairs.where("weak")
-    level = prior.select(*GROUP, "norm", "level", F.length("norm").alias("size"))
-    ends = weak.join(level.select(*GROUP, F.col("norm").alias("a"), F.col("level").alias("la"), F.col("size").alias("sa")), [*GROUP, "a"]).join(level.select(*GROUP, F.col("norm").alias("b"), F.col("level").alias("lb"), F.col("size").alias("sb")), [*GROUP, "b"])
-    lesser = F.when(F.col("la") == F.col("lb"), F.col("sa") < F.col("sb")).otherwise(F.col("la") < F.col("lb"))
-    ends = checkpointed(ends.select(*GROUP, F.when(lesser, F.col("a")).otherwise(F.col("b")).alias("norm"), F.when(lesser, F.col("b")).otherwise(F.col("a")).alias("other"), F.least("la", "lb").alias("level"), "score"))
-    said = forms.where("is_name and level > 0").select(*GROUP, "id", F.col("norm").alias("other")).join(forms.where("not is_name and level in (1, 2)").select(*GROUP, "id", "norm", "level"), [*GROUP, "id"]).where("norm <> other")
-    ends = ends.unionByName(said.select(*GROUP, "norm", "other", "level", F.lit(0.0).alias("score")))
-    for least in (2, 1):
-        step = ends.where(F.col("level") >= 2) if least == 2 else ends.where("level = 1")
-        seen = step.join(entities, [*GROUP, "norm"]).join(entities.select(*GROUP, F.col("norm").alias("other"), F.col("entity").alias("target")), [*GROUP, "other"])
-        entities = checkpointed(_attach(entities, seen.select(*GROUP, "entity", "target", "score")))
-    known = forms.where("level > 0").join(entities, [*GROUP, "norm"]).select(*GROUP, "id", "is_name", "norm", "entity")
+    ways = sure.select("graph_id", F.col("v").alias("sid"), F.col("c").alias("other"), "score").unionByName(sure.select("graph_id", F.col("c").alias("sid"), F.col("v").alias("other"), "score"))
+    count = uses.select("graph_id", spelling_id().alias("sid"), "uses")
+    prior = ways.groupBy("graph_id", "sid").agg(F.count(F.lit(1)).alias("explained")).join(count, ["graph_id", "sid"]).select("graph_id", "sid", (F.col("uses") + F.col("explained")).alias("p"))
+    higher = ways.join(prior.withColumnRenamed("p", "p0"), ["graph_id", "sid"]).join(prior.select("graph_id", F.col("sid").alias("other"), F.col("p").alias("p1")), ["graph_id", "other"]).where("p1 > p0 or (p1 = p0 and other < sid)")
+    best = higher.groupBy("graph_id", "sid").agg(F.max(F.struct((F.log("p1") + F.col("score")).alias("posterior"), "other")).alias("m"))
+    links = best.select("graph_id", F.col("sid").alias("a"), F.col("m.other").alias("b"))
+    # A full alias names the same one as the node's full name; a lesser alias is evidence.
+    alias = forms.where("sid <> name_sid and level > 0 and name_level > 0")
+    links = checkpointed(links.unionByName(alias.where("level = 3 and name_level = 3").select("graph_id", F.col("sid").alias("a"), F.col("name_sid").alias("b"))))
+    weak = pairs.where("weak").select("graph_id", "v", "c", "level", "score").unionByName(alias.where("level < 3").select("graph_id", F.col("sid").alias("v"), F.col("name_sid").alias("c"), "level", F.lit(0.0).alias("score")))
+    entities = components(links)
+    for step in ("level >= 2", "level = 1"):
+        links = checkpointed(_attach(links, entities, weak.where(step)))
+        entities = components(links)
+    known = forms.where("sid = name_sid and level > 0").select("graph_id", "kind", "id", "sid").join(entities, ["graph_id", "sid"], "left").select("graph_id", "kind", "id", F.coalesce("entity", "sid").alias("entity"))
     # Roles: the one person of the graph who carries the role as an alias; without any, nodes of one role are one.
-    roles = forms.where("level = 0")
-    holder = roles.join(known.where("is_name").select(*GROUP, "id", "entity"), [*GROUP, "id"]).groupBy(*GROUP, "norm").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("holders"))
-    placed = roles.where("is_name").select(*GROUP, "id", "norm").join(holder, [*GROUP, "norm"], "left")
-    placed = placed.select(*GROUP, "id", "norm", F.when(F.col("holders") == 1, F.col("entity")).when(F.col("holders").isNull(), F.col("norm")).otherwise(F.concat_ws("#", "norm", "id")).alias("entity"))
-    return known.where("is_name").select(*GROUP, "id", "norm", "entity").unionByName(placed).distinct()
+    carried = forms.where("level = 0 and name_level > 0").select("graph_id", "kind", F.col("sid").alias("role"), F.col("name_sid").alias("sid")).join(entities, ["graph_id", "sid"], "left")
+    holder = carried.groupBy("graph_id", "kind", "role").agg(F.min(F.coalesce("entity", "sid")).alias("holder"), F.countDistinct(F.coalesce("entity", "sid")).alias("holders"))
+    placed = forms.where("level = 0 and sid = name_sid").select("graph_id", "kind", "id", F.col("sid").alias("role")).join(holder, ["graph_id", "kind", "role"], "left")
+    alone = F.when(F.col("holders").isNull(), F.col("role")).when(F.col("holders") == 1, F.col("holder")).otherwise(F.xxhash64("role", "id"))
+    return known.unionByName(placed.select("graph_id", "kind", "id", alone.alias("entity"))).distinct()
 
 
 def same_entity_pairs(nodes: DataFrame) -> DataFrame:
     """All pairs ``id_a < id_b`` of nodes of one graph and kind, PERSON or ORG, that mean the same one."""
-    found = checkpointed(attributed(nodes).select(*GROUP, "entity", "id").distinct())
-    a, b = found.withColumnRenamed("id", "id_a"), found.withColumnRenamed("id", "id_b")
-    return a.join(b, [*GROUP, "entity"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    found = attributed(nodes).select("graph_id", "kind", "entity", "id").distinct()
+    # Only entities of several nodes take part in the pairing.
+    several = checkpointed(found.join(found.groupBy("graph_id", "kind", "entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["graph_id", "kind", "entity"]).drop("n"))
+    a, b = several.withColumnRenamed("id", "id_a"), several.withColumnRenamed("id", "id_b")
+    return a.join(b, ["graph_id", "kind", "entity"]).where("id_a < id_b").select("id_a", "id_b").distinct()
