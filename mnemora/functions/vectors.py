@@ -1,7 +1,13 @@
-"""Hashed token vectors and exact nearest neighbours in built-in expressions."""
+"""Hashed token vectors in built-in expressions, and exact nearest neighbours by batched matrix products."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +48,64 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def l2_normalised(v: Column) -> Column:
-    """Unit vector; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay."""
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+def corpus_mean_vector(vectors: DataFrame, vec: str = "embedding") -> np.ndarray:
+    """Mean of all vectors in double precision (0 for fewer than two): one short row reaches the driver."""
+    rows = vectors.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    rows.sort(key=lambda r: r.pos)
+    return np.array([r.m if r.n > 1 else 0.0 for r in rows])
 
 
 def centred(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Vectors less their corpus mean, renormalised; the mean row is one vector, so it's broadcast."""
-    size = vectors.select(F.posexplode(vec).alias("pos", "x"))
-    mean = size.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("mean"))
-    shifted = F.zip_with(F.col(vec), F.col("mean"), lambda x, m: x.cast("double") - m)
-    return vectors.crossJoin(F.broadcast(mean)).withColumn("centred", l2_normalised(shifted)).drop("mean")
+    """Vectors less their corpus mean at unit length, as ``centred``; one matrix operation per Arrow batch. Null vectors stay null."""
+    mean = corpus_mean_vector(vectors, vec)
+
+    @F.pandas_udf("array<double>")
+    def shift(column: pd.Series) -> pd.Series:
+        there = [i for i, v in enumerate(column) if v is not None]
+        out: list = [None] * len(column)
+        if there:
+            m = np.stack([np.asarray(column.iloc[i], "float64") for i in there])
+            for i, v in zip(there, _unit(m - mean), strict=True):
+                out[i] = v
+        return pd.Series(out, index=column.index, dtype=object)
+
+    return vectors.withColumn("centred", shift(vec))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, vec: str = "centred") -> DataFrame:
-    """``query_id, vector_id, score, rank`` of the ``k`` best vectors of each query (ties by id).
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, vec: str = "centred", block: int = 4096) -> DataFrame:
+    """``q_id, v_id, score, rank`` of the ``k`` best vectors of each query, exactly (ties by id).
 
-    The stated query set meets all rows in one pass; it's broadcast only within the size limit. ``rank <= k`` on a
-    row number is pruned per partition before the shuffle (window group limit).
+    The stated query set meets all rows in blocks of ``block`` queries, the only part of it that's ever sent at once.
+    Each Arrow batch multiplies matrices and keeps its own ``k`` best per query, so the shuffle carries a few rows per
+    batch and query instead of every pair.
     """
-    q = queries.select(F.col(query_id).alias("q_id"), F.col(vec).alias("q_vec"))
-    pairs = vectors.select(F.col(vector_id).alias("v_id"), F.col(vec).alias("v_vec")).join(broadcast_if_small(q), F.lit(True)).select("q_id", "v_id", F.round(dot(F.col("q_vec"), F.col("v_vec")), 9).alias("score"))
+    kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vector_id]
+    schema = f"q_id {kinds[0]}, v_id {kinds[1]}, score double"
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(vector_id).alias("v_id"), F.col(vec).alias("v"))
+    asked = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).alias("q_id"), F.col(vec).alias("q")).toLocalIterator()
+    parts = []
+    while piece := list(itertools.islice(asked, block)):
+        names, matrix = np.array([r.q_id for r in piece], dtype=object), np.array([r.q for r in piece], "float64")
+
+        def best(batches: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    scores = np.round(matrix @ np.stack([np.asarray(v, "float64") for v in pdf["v"]]).T, 9)
+                    ids = pdf["v_id"].to_numpy()
+                    for name, row in zip(names, scores, strict=True):
+                        cut = np.partition(-row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+                        at = np.flatnonzero(-row <= cut)  # ties at the cut all stay for the final order
+                        yield pd.DataFrame({"q_id": name, "v_id": ids[at], "score": row[at]})
+
+        parts.append(rows.mapInPandas(best, schema))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    pairs = reduce(lambda a, b: a.unionByName(b), parts)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "v_id")))
     return ranked.where(F.col("rank") <= k)
