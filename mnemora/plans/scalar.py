@@ -45,7 +45,7 @@ QUERIES = {
     "f24_decayed_strength": lambda s, d: _edges(s, d).select("graph_id", "id", F.round(D.decayed(F.col("strength"), F.col("stability"), D.elapsed_days(instant("updated_at"), _now())), 6).alias("strength")).withColumn("dormant", D.is_dormant(F.col("strength"))),
     "f29_payload_repair": lambda s, d: table(s, d, "campaigns").select("campaign_id", "payload").distinct().select("campaign_id", F.md5("payload").alias("digest"), T.repaired_json("payload").isNotNull().alias("usable"), F.length(T.without_fences("payload")).alias("inner_chars")),
     "f32_prompts": lambda s, d: table(s, d, "episodes").select("graph_id", "id", "summary", "source_prompt_text").distinct().select("graph_id", "id", T.filled_prompt("Known:\n{context}\n\nSaid:\n{conversation}", F.coalesce("summary", F.lit("")), F.coalesce("source_prompt_text", F.lit(""))).alias("prompt")),
-    "f34_nullish_evidence": lambda s, d: _edges(s, d).select("graph_id", "id", T.nullish("evidence").alias("evidence"), T.nullish(F.col("ttl_days").cast("string")).try_cast("int").alias("ttl")),
+    "f34_nullish_evidence": lambda s, d: _edges(s, d).select("graph_id", "id", T.nullish("evidence").alias("evidence"), F.coalesce(T.nullish(F.col("ttl_days").cast("string")), F.lit("none")).alias("ttl")),
     "f35_clean_tags": lambda s, d: table(s, d, "episodes").select("graph_id", "id", F.array_join(T.clean_list("tags", 5), "|").alias("tags")).distinct(),
     "f36_clean_aliases": lambda s, d: table(s, d, "nodes").select("graph_id", "id", F.array_join(T.clean_list("aliases"), "|").alias("aliases")).distinct(),
     "f38_token_estimates": lambda s, d: table(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("preview"), T.token_estimate("text").alias("tokens")),
@@ -88,7 +88,7 @@ SQL = {
     "f23_message_nouns": f"select noun, count(*) as n from (select distinct read_id, noun from (select read_id, unnest({tokens('m')}) as noun from (select read_id, min(message_preview) as m from read_trace group by read_id)) where length(noun) > 1 and noun not in ({inlist(T.STOP_WORDS)})) group by noun",
     "f24_decayed_strength": sql(f"select graph_id, id, s as strength, s < 2 as dormant from (select graph_id, id, round(strength * exp(-({_RATE}) * {_DAYS}), 6) as s from e)", "e"),
     "f32_prompts": r"select distinct graph_id, id, 'Known:' || chr(10) || coalesce(nullif(summary, ''), '(empty - no existing graph)') || chr(10) || chr(10) || 'Said:' || chr(10) || coalesce(source_prompt_text, '') as prompt from episodes",
-    "f34_nullish_evidence": sql("select graph_id, id, case when lower(trim(evidence)) not in ('null', 'none', '') then evidence end as evidence, ttl_days as ttl from e", "e"),
+    "f34_nullish_evidence": sql("select graph_id, id, case when lower(trim(evidence)) not in ('null', 'none', '') then evidence end as evidence, coalesce(cast(ttl_days as varchar), 'none') as ttl from e", "e"),
     "f35_clean_tags": f"select distinct graph_id, id, array_to_string(({_CLEAN.format('tags')})[1:5], '|') as tags from episodes",
     "f36_clean_aliases": f"select distinct graph_id, id, array_to_string({_CLEAN.format('aliases')}, '|') as aliases from nodes",
     "f38_token_estimates": r"select doc_id, substr(text, 1, 200) as preview, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) as tokens from documents",
