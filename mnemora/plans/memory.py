@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from mnemora import config
 from mnemora.config import RetrievalConfig
 from mnemora.functions import vectors as V
+from mnemora.functions.text import STOP_WORDS
 from mnemora.operators import consolidate as C
 from mnemora.operators import graph as Gr
 from mnemora.operators import resolve as R
 from mnemora.operators import retrieve as Re
-from mnemora.plans.sqltext import NOW, RETRIEVAL, canon, inlist, sql
+from mnemora.plans.sqltext import NOW, RETRIEVAL, canon, inlist, sql, tokens
 from mnemora.runtime import checkpointed, instant, table
 
 #: Edges written from here on count as the new ones of write queries; the earlier ones as stored.
@@ -184,6 +185,23 @@ QUERIES = {
     "s14_conversation_jsonl": lambda s, d: C.conversation_jsonl(table(s, d, "documents").where("text is not null and speaker is not null").select(F.col("speaker").alias("conv_id"), "doc_id", "lang"), "conv_id", "doc_id", ["doc_id", "lang"]).select("conv_id", F.md5("jsonl").alias("digest")),
 }
 
+_NOUN_SEARCH = (
+    "tk as (select graph_id, key, unnest(" + tokens("text") + ") as t from idx)",
+    "vs as (select graph_id, key, ('0x' || substr(sha1(t), 1, 8))::bigint % 256 as b, sum(case when ('0x' || substr(sha1(t), 9, 2))::int % 2 = 1 then 1.0::double else -1.0::double end) as w from tk group by all having sum(case when ('0x' || substr(sha1(t), 9, 2))::int % 2 = 1 then 1 else -1 end) <> 0)",
+    "v as (select graph_id, key, b, w / sqrt(sum(w * w) over (partition by graph_id, key)) as w from vs)",
+    "mean as (select graph_id, b, case when max(c.n) > 1 then sum(w) / max(c.n) else 0.0 end as m from v join (select graph_id, count(*) as n from idx group by graph_id) c using (graph_id) group by all)",
+    "mm as (select graph_id, sum(m * m) as mm from mean group by graph_id)",
+    "vm as (select graph_id, key, sum(w * m) as vm, sum(w * w) as vv from v join mean using (graph_id, b) group by all)",
+    "msg as (select read_id, graph_id, min(message_preview) as m from read_trace group by all)",
+    f"q0 as (select distinct graph_id, noun from (select graph_id, unnest({tokens('m')}) as noun from msg) where length(noun) > 1 and noun not in ({inlist(STOP_WORDS)}))",
+    "q as (select graph_id, noun, ('0x' || substr(sha1(noun), 1, 8))::bigint % 256 as b, case when ('0x' || substr(sha1(noun), 9, 2))::int % 2 = 1 then 1.0::double else -1.0::double end as sign from q0)",
+    "qm as (select graph_id, noun, b, sign, sign * coalesce(m, 0.0) as qm from q left join mean using (graph_id, b))",
+    "sc as (select qm.graph_id, noun, vm.key, coalesce(v.w * sign, 0.0) - qm - vm + mm as top, sqrt((1 - 2 * qm + mm) * (vv - 2 * vm + mm)) as norm from qm join vm on vm.graph_id = qm.graph_id join mm on mm.graph_id = qm.graph_id left join v on v.graph_id = qm.graph_id and v.key = vm.key and v.b = qm.b)",
+    "sr as (select graph_id, noun, key, round(top / case when norm <= 1e-12 then 1.0 else norm end, 9) as score from sc)",
+    "hits as (select *, row_number() over (partition by graph_id, noun order by score desc, key) as rank from sr where score >= 0 qualify rank <= 3)",
+    "gate as (select *, coalesce(lead(score) over (partition by graph_id, noun order by rank), 0.0) as nxt from hits)",
+    "acc as (select * from gate where score >= 0.30 or (rank = 1 and score >= 0.15 and score - nxt >= 0.15))",
+)
 _STAGED = f"st as (select distinct graph_id, rec_id as entity, kind, {canon('name')} as canon, kind || '::' || {canon('name')} as key from node_records where name is not null and kind is not null)"
 _NC = f"nc as (select graph_id, kind, key as target_key, {canon('name')} as canon, aliases from n)"
 _GROUPS = "g as (select unnest([" + ", ".join("[" + inlist(g) + "]" for g in R.ABBREVIATIONS) + f"]) as names, unnest(range({len(R.ABBREVIATIONS)})) as grp)"
@@ -265,6 +283,19 @@ SQL = {
         u as (select vec_id, pos, c / sqrt(sum(c * c) over (partition by vec_id)) as c from v),
         s as (select q.vec_id as q_id, w.vec_id as v_id, round(sum(q.c * w.c), 9) as score from u q join u w using (pos) where q.vec_id % 100 = 0 group by all)
         select q_id, v_id, round(score, 6) as score, row_number() over (partition by q_id order by score desc, v_id) as rank from s qualify rank <= 3""",
+    "w01_noun_hits": _with("select graph_id, noun, round(score, 5) as score, rank from hits", "n", "e", "idx", extra=_NOUN_SEARCH[:13]),
+    "w02_margin_gate": _with("select graph_id, noun, count(*) as accepted from acc group by all", "n", "e", "idx", extra=_NOUN_SEARCH),
+    "g11_find_seeds": _with(
+        "select distinct mn.ask, mn.graph_id, sk.key from mn join sk on sk.graph_id = mn.graph_id and sk.noun = mn.noun",
+        "n",
+        "e",
+        "idx",
+        extra=(
+            *_NOUN_SEARCH,
+            f"mn as (select distinct read_id as ask, graph_id, unnest({tokens('m')}) as noun from msg)",
+            "sk as (select acc.graph_id, acc.noun, n.key from acc join n on n.graph_id = acc.graph_id and n.key = acc.key union select acc.graph_id, acc.noun, unnest([e.source_key, e.target_key]) from acc join e on e.graph_id = acc.graph_id and acc.key = 'REL::' || e.relation)",
+        ),
+    ),
     "j08_er_exact": _er_sql(_EXACT),
     "j09_er_alias": _er_sql(_ALIAS),
     "j10_er_abbreviation": _er_sql(_ABBR, _GROUPS),
@@ -321,6 +352,13 @@ SQL = {
     "j24_found_nodes": _with("select * from node", "n", "e", "bothways", extra=_NAMES[:4]),
     "y14_retrieve_memory": _with("select distinct ask, graph_id, id from rel", "n", "e", "bothways", extra=_NAMES),
     "j23_episodes": _with("select distinct x.ask, x.graph_id, x.ep as episode from (select ask, graph_id, unnest(source_episode_ids) as ep from rel union select node.ask, node.graph_id, unnest(n.source_episode_ids) from node join n using (graph_id, key)) x join episodes p on p.graph_id = x.graph_id and p.id = x.ep", "n", "e", "bothways", extra=_NAMES),
+    "p13_validated_edges": sql(
+        f"""select case when relation is null or not regexp_full_match(relation, '[A-Z]+(?:_[A-Z]+){{0,3}}') then 'bad relation' when source_key = target_key then 'self loop'
+            when stability is null or stability not in ({inlist(config.STABILITIES)}) then 'unknown stability' when cardinality is null or cardinality not in ({inlist(config.CARDINALITIES)}) then 'unknown cardinality'
+            when ttl_days is not null and stability not in ({inlist(config.TTL_STABILITIES)}) then 'ttl on a lasting relation' when not coalesce(confidence between 0 and 1, false) then 'confidence out of range'
+            else 'valid' end as verdict, count(*) as n from e group by verdict""",
+        "e",
+    ),
     "a18_health": sql("select coalesce(a.graph_id, b.graph_id) as graph_id, nodes, kinds, edges, relations from (select graph_id, count(*) as nodes, count(distinct kind) as kinds from n group by graph_id) a full join (select graph_id, count(*) as edges, count(distinct relation) as relations from e group by graph_id) b on a.graph_id = b.graph_id", "n", "e"),
     "k17_last_read": "select graph_id, arg_max(read_id, (ts, received_at, read_id)) as read_id from read_trace group by graph_id",
     "s29_high_water": "with t as (select graph_id, read_id, row_number() over (partition by graph_id order by read_id) as turn from (select distinct graph_id, read_id from read_trace)), h as (select graph_id, count(distinct read_id) as done from read_trace where ts < timestamp '2025-06-01' group by graph_id) select graph_id, count(*) as pending from t left join h using (graph_id) where turn > coalesce(done, 0) group by graph_id",
