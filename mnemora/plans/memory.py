@@ -138,7 +138,7 @@ QUERIES = {
     "j02_adjacency": lambda s, d: Gr.adjacency(edges(s, d)).select("graph_id", "from_key", "to_key", "edge_id", "direction", F.round("share", 6).alias("share")),
     "a01_incident_strength": lambda s, d: Gr.adjacency(edges(s, d)).groupBy("graph_id", "from_key").agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum("strength"), 4).alias("strength")),
     "g01_neighbourhood": lambda s, d: Gr.neighbourhood(trace_seeds(s, d), edges(s, d), nodes(s, d), 2),
-    "p14_induced_edges": lambda s, d: Gr.induced_edges(chosen(s, d), edges(s, d)).select("ask", "graph_id", "id"),
+    "proj14_induced_edges": lambda s, d: Gr.induced_edges(chosen(s, d), edges(s, d)).select("ask", "graph_id", "id"),
     "g03_spread_activation": lambda s, d: Gr.spreading_activation(trace_seeds(s, d), Gr.adjacency(edges(s, d))).withColumn("score", F.round("score", 6)),
     "g06_co_episode_boost": lambda s, d: activations(s, d, LOW).select("ask", "graph_id", "key", F.round("score", 6).alias("score"), "direction", "co_episode"),
     "g07_budget_select": lambda s, d: chosen(s, d).select("ask", "graph_id", "key", "direction", "rank"),
@@ -171,14 +171,14 @@ QUERIES = {
     "a13_reinforced": lambda s, d: C.reinforce(edges(s, d), _traversals(s, d)).select("graph_id", "id", F.round("strength", 6).alias("strength")),
     "y15_decayed_graph": lambda s, d: C.decay_edges(edges(s, d), NOW).groupBy("graph_id").agg(F.count_if("decayed").alias("decayed"), F.count_if("dormant").alias("dormant"), F.round(F.sum("strength"), 3).alias("strength")),
     "k02_decay_due": lambda s, d: edges(s, d).groupBy("graph_id").agg(F.max(instant("updated_at")).alias("last")).select("graph_id", C.decay_due(F.col("last"), F.to_timestamp(F.lit(NOW))).alias("due")),
-    "p15_graph_snapshot": lambda s, d: C.decay_edges(edges(s, d), NOW).select("graph_id", "id", "source_key", "relation", "target_key", F.round("strength", 4).alias("strength"), "dormant", F.element_at("properties", "superseded_by").alias("superseded_by")),
+    "proj15_graph_snapshot": lambda s, d: C.decay_edges(edges(s, d), NOW).select("graph_id", "id", "source_key", "relation", "target_key", F.round("strength", 4).alias("strength"), "dormant", F.element_at("properties", "superseded_by").alias("superseded_by")),
     "j29_orphans": lambda s, d: C.orphans(nodes(s, d), edges(s, d)),
     "j32_graph_delta": _first_last,
     "j30_index_sync": lambda s, d: C.index_sync_plan(table(s, d, "node_snapshots").select("graph_id", "key").distinct(), nodes(s, d).select("graph_id", "key")),
     "j24_found_nodes": lambda s, d: _retrieved(s, d)["node"],
     "y14_retrieve_memory": lambda s, d: _retrieved(s, d)["relationships"].select("ask", "graph_id", "id"),
     "j23_episodes": lambda s, d: _retrieved(s, d)["episodes"].select("ask", "graph_id", "episode"),
-    "p13_validated_edges": lambda s, d: C.validated_edges(edges(s, d)).groupBy(F.coalesce("reason", F.lit("valid")).alias("verdict")).agg(F.count(F.lit(1)).alias("n")),
+    "proj13_validated_edges": lambda s, d: C.validated_edges(edges(s, d)).groupBy(F.coalesce("reason", F.lit("valid")).alias("verdict")).agg(F.count(F.lit(1)).alias("n")),
     "a18_health": lambda s, d: nodes(s, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("kind").alias("kinds")).join(edges(s, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("relation").alias("relations")), "graph_id", "full_outer"),
     "k17_last_read": lambda s, d: table(s, d, "read_trace").groupBy("graph_id").agg(F.max(F.struct("ts", "received_at", "read_id")).alias("m")).select("graph_id", "m.read_id"),
     "s29_high_water": lambda s, d: table(s, d, "read_trace").select("graph_id", "read_id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy("graph_id").orderBy("read_id"))).join(table(s, d, "read_trace").where("ts < '2025-06-01'").groupBy("graph_id").agg(F.countDistinct("read_id").alias("done")), "graph_id", "left").where(F.col("turn") > F.coalesce("done", F.lit(0))).groupBy("graph_id").agg(F.count(F.lit(1)).alias("pending")),
@@ -268,7 +268,7 @@ SQL = {
     "j02_adjacency": sql("select graph_id, from_key, to_key, edge_id, direction, round(share, 6) as share from adj", "e", "bothways", "adj"),
     "a01_incident_strength": sql("select graph_id, from_key, count(*) as degree, round(sum(strength), 4) as strength from bothways group by all", "e", "bothways"),
     "g01_neighbourhood": _with("select ask, graph_id, key, min(hop) as hop from (select ask, graph_id, key, 0 as hop from seeds union all select ask, graph_id, key, 1 from one union all select o.ask, o.graph_id, b.to_key, 2 from one o join bothways b on b.graph_id = o.graph_id and b.from_key = o.key) group by ask, graph_id, key", "n", "e", "bothways", "seeds", extra=("one as (select distinct s.ask, s.graph_id, b.to_key as key from seeds s join bothways b on b.graph_id = s.graph_id and b.from_key = s.key)",)),
-    "p14_induced_edges": sql("select a.ask, e.graph_id, e.id from e join chosen a on a.graph_id = e.graph_id and a.key = e.source_key join chosen b on b.ask = a.ask and b.graph_id = e.graph_id and b.key = e.target_key", *RETRIEVAL[:17], **_LOW),
+    "proj14_induced_edges": sql("select a.ask, e.graph_id, e.id from e join chosen a on a.graph_id = e.graph_id and a.key = e.source_key join chosen b on b.ask = a.ask and b.graph_id = e.graph_id and b.key = e.target_key", *RETRIEVAL[:17], **_LOW),
     "g03_spread_activation": sql("select ask, graph_id, key, round(score, 6) as score, hop, direction from act", *RETRIEVAL[:10]),
     "g06_co_episode_boost": sql("select ask, graph_id, key, round(score, 6) as score, direction, co_episode from boosted", *RETRIEVAL[:14], **_LOW),
     "g07_budget_select": sql("select ask, graph_id, key, direction, rank from chosen", *RETRIEVAL[:17], **_LOW),
@@ -345,14 +345,14 @@ SQL = {
     "a13_reinforced": _with("select e.graph_id, e.id, round(case when t.k is null then strength else least(strength + 15 * t.k, 100) end, 6) as strength from e left join (select graph_id, key, count(*) as k from trav group by all) t using (graph_id, key)", "e", extra=("sel as (select distinct read_id, graph_id, k from (select read_id, graph_id, unnest(selected) as k from read_trace) where k is not null)", "ek as (select distinct graph_id, source_key, target_key, key from e)", "trav as (select ek.graph_id, ek.key from ek join sel a on a.graph_id = ek.graph_id and a.k = ek.source_key join sel b on b.read_id = a.read_id and b.graph_id = ek.graph_id and b.k = ek.target_key)")),
     "y15_decayed_graph": _with("select graph_id, count(s1) as decayed, count(*) filter (where coalesce(s1, strength) < 2) as dormant, round(sum(coalesce(s1, strength)), 3) as strength from dec group by graph_id", "e", extra=(_DEC,)),
     "k02_decay_due": sql(f"select graph_id, max(try_cast(updated_at as timestamptz)) is null or epoch_us(timestamptz '{NOW}+00') - epoch_us(max(try_cast(updated_at as timestamptz))) >= 86400000000 as due from e group by graph_id", "e"),
-    "p15_graph_snapshot": _with("select graph_id, id, source_key, relation, target_key, round(coalesce(s1, strength), 4) as strength, coalesce(s1, strength) < 2 as dormant, properties['superseded_by'] as superseded_by from dec", "e", extra=(_DEC,)),
+    "proj15_graph_snapshot": _with("select graph_id, id, source_key, relation, target_key, round(coalesce(s1, strength), 4) as strength, coalesce(s1, strength) < 2 as dormant, properties['superseded_by'] as superseded_by from dec", "e", extra=(_DEC,)),
     "j29_orphans": sql("select n.graph_id, n.key from n left join (select distinct graph_id, from_key from bothways) b on b.graph_id = n.graph_id and b.from_key = n.key where b.from_key is null", "n", "e", "bothways"),
     "j32_graph_delta": "with x as (select graph_id, min(snapshot_no) as lo, max(snapshot_no) as hi from node_snapshots group by graph_id), r as (select distinct graph_id, key, name, kind, confidence, snapshot_no, lo, hi from node_snapshots join x using (graph_id)), a as (select * from r where snapshot_no = lo), b as (select * from r where snapshot_no = hi) select coalesce(a.graph_id, b.graph_id) as graph_id, coalesce(a.key, b.key) as key, case when a.key is null then 'created' when b.key is null then 'removed' else 'changed' end as change from a full join b on a.graph_id = b.graph_id and a.key = b.key where a.key is null or b.key is null or a.name is distinct from b.name or a.kind is distinct from b.kind or a.confidence is distinct from b.confidence",
     "j30_index_sync": sql("select coalesce(i.graph_id, c.graph_id) as graph_id, coalesce(i.key, c.key) as key, case when c.key is null then 'drop' when i.key is null then 'add' else 'keep' end as action from (select distinct graph_id, key from node_snapshots) i full join (select graph_id, key from n) c on i.graph_id = c.graph_id and i.key = c.key", "n"),
     "j24_found_nodes": _with("select * from node", "n", "e", "bothways", extra=_NAMES[:4]),
     "y14_retrieve_memory": _with("select distinct ask, graph_id, id from rel", "n", "e", "bothways", extra=_NAMES),
     "j23_episodes": _with("select distinct x.ask, x.graph_id, x.ep as episode from (select ask, graph_id, unnest(source_episode_ids) as ep from rel union select node.ask, node.graph_id, unnest(n.source_episode_ids) from node join n using (graph_id, key)) x join episodes p on p.graph_id = x.graph_id and p.id = x.ep", "n", "e", "bothways", extra=_NAMES),
-    "p13_validated_edges": sql(
+    "proj13_validated_edges": sql(
         f"""select case when relation is null or not regexp_full_match(relation, '[A-Z]+(?:_[A-Z]+){{0,3}}') then 'bad relation' when source_key = target_key then 'self loop'
             when stability is null or stability not in ({inlist(config.STABILITIES)}) then 'unknown stability' when cardinality is null or cardinality not in ({inlist(config.CARDINALITIES)}) then 'unknown cardinality'
             when ttl_days is not null and stability not in ({inlist(config.TTL_STABILITIES)}) then 'ttl on a lasting relation' when not coalesce(confidence between 0 and 1, false) then 'confidence out of range'
