@@ -63,10 +63,10 @@ class MemoryEngine:
         return Re.retrieve_memory(names, Gr.one_per_key(nodes), Gr.one_per_id(edges), episodes, depth)
 
     def contexts(self, conversations: DataFrame, depth: int = 2) -> DataFrame:
-        """``batch_id, context``: names near what a conversation (``batch_id, graph_id, conversation``) speaks of."""
+        """``batch_id, context``: names near what a whole conversation (``batch_id, graph_id, conversation``) speaks of."""
         nodes, edges, _ = self._tables()
         nodes, edges = Gr.one_per_key(nodes), Gr.one_per_id(edges)
-        asks = conversations.select(F.col("batch_id").alias("ask"), G, F.substring("conversation", 1, 2000).alias("message"))
+        asks = conversations.select(F.col("batch_id").alias("ask"), G, F.col("conversation").alias("message"))
         nouns = Re.message_nouns(asks)
         hits = Re.gated(Re.noun_hits(nouns, C.index_inputs(nodes, edges), self.cfg), self.cfg, margin=False)
         seeds = nouns.join(Re.seed_keys(hits, nodes, edges), [G, "noun"]).select("ask", G, "key").distinct()

@@ -122,3 +122,11 @@ def test_engine_cycle(spark, tmp_path):
     assert eng.decay("2025-02-02T00:00:00+00:00", last="2025-02-01T12:00:00+00:00") is None
     assert eng.decay("2025-03-01T00:00:00+00:00", last="2025-02-01T12:00:00+00:00").first().edges_decayed == 2
     assert eng.health().first().edges == 2
+
+
+def test_contexts_search_the_whole_conversation(spark, tmp_path):
+    s = S.GraphStore(spark, str(tmp_path))
+    s.save(graph(spark))
+    late = "nothing of note was said here. " * 200 + "Then Ann came in"
+    got = MemoryEngine(s).contexts(spark.createDataFrame([("b1", 1, late)], "batch_id string, graph_id bigint, conversation string")).collect()
+    assert len(got) == 1 and "PERSON::ann" in got[0].context
