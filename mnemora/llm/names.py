@@ -49,6 +49,7 @@ SELF = {"user", "the user", "me", "myself", "self", "i", "the_user"}
 LEGAL = {"inc", "incorporated", "llc", "llp", "ltd", "limited", "plc", "gmbh", "ag", "sa", "corp", "corporation", "group", "grp", "hq", "headquarters", "holdings"}
 SHORT_WORDS = {"assoc": "association", "assn": "association", "ctr": "centre", "center": "centre", "co": "company", "dept": "department", "inst": "institute", "intl": "international", "lib": "library", "med": "medical", "natl": "national", "sch": "school", "soc": "society", "uni": "university", "univ": "university"}
 EMPTY_WORDS = {"and", "of", "the", "for", "de", "und", "et"}
+AND_WORDS = {"and", "und", "et"}
 
 #: Log likelihoods of the channel's slips, and of a spelling that stands for somebody not yet known.
 SLIP, NICK, CUT, DROPPED, TURNED, UNKNOWN = -2.5, -1.0, -1.5, -0.7, -0.5, -7.0
@@ -127,7 +128,7 @@ def parse(kind: str, form: str) -> tuple[str, int] | None:
     raw = re.sub(r"\([^)]*\)", " ", raw)
     if re.fullmatch(r"[A-Z]{3,7}", raw.strip()):
         return "acr:" + raw.strip().lower(), 1
-    raw = _CAMEL.sub(" ", re.sub(r"\bGmbH\b", "gmbh", raw))
+    raw = _CAMEL.sub(" ", re.sub(r"\bGmbH\b", "gmbh", raw)).replace("&", " and ")
     parts = [[w for w in re.split(r"[^\w]+", plain(p)) if w] for p in raw.split(",")]
     parts = [p for p in parts if p]
     while len(parts) > 1 and set(parts[-1]) <= LEGAL:
@@ -135,10 +136,15 @@ def parse(kind: str, form: str) -> tuple[str, int] | None:
     words = [w for p in reversed(parts) for w in p] if len(parts) == 2 else [w for p in parts for w in p]
     while len(words) > 1 and words[-1] in LEGAL:
         words.pop()
-    words = [SHORT_WORDS.get(w, w) for w in words if w not in EMPTY_WORDS] or words
-    if len(words) > 1 and words[0] == "university":
-        words = words[1:] + words[:1]
-    return (" ".join(words) + "|", 3 if len(words) > 1 else 1) if words else None
+    told = [w for w in words if w not in EMPTY_WORDS or w in AND_WORDS]
+    if len(told) > 1 and told[0] == "university":
+        told = told[1:] + told[:1]
+    kept = [SHORT_WORDS.get(w, w) for w in told if w not in AND_WORDS]
+    # Numbers of words before each "and" between two parts; the order of such parts is free.
+    ands = {sum(w not in AND_WORDS for w in told[:i]) for i, w in enumerate(told) if w in AND_WORDS} if kept else set()
+    words = kept or words
+    tail = ",".join(str(k) for k in sorted(ands) if 0 < k < len(words))
+    return (" ".join(words) + "|" + tail, 3 if len(words) > 1 else 1) if words else None
 
 
 @lru_cache(100_000)
@@ -168,10 +174,11 @@ def blocking(kind: str, norm: str, roles: str) -> set[str]:
     words = norm.partition("|")[0].split()
     if len(words) == 1:
         return set(pieces(words[0])) if "s" in roles else set()
-    a, b = (words[0], words[-1]) if kind == "PERSON" else (words[0], words[1])
+    a, b = words[0], words[-1]
     keys: set[str] = set()
     if "b" in roles:
-        ends = ((a, b), (b, a)) if kind == "PERSON" else ((a, b), (b, a), (a, words[-1]))
+        # An organisation's words may stand in another order: every one with the initial of every other.
+        ends = ((a, b), (b, a)) if kind == "PERSON" else ((words[i], words[j]) for i in range(len(words)) for j in range(len(words)) if i != j)
         keys |= {f"{p}{i}" for w, o in ends for p in pieces(w) for i in initials(o)}
     if "f" in roles:
         keys |= pieces(a) | (pieces(b) if kind == "PERSON" else {"acr:" + "".join(w[0] for w in words)})
@@ -239,6 +246,13 @@ def person_likelihood(v: str, c: str) -> tuple[float, bool] | None:
     return best + generation, short or gv != gc
 
 
+def turned_bodies(norm: str) -> list[list[str]]:
+    """The words of an organisation's spelling with the parts around one "and" in the other order, for every end of the second part."""
+    name, _, ands = norm.partition("|")
+    words = name.split()
+    return [words[k:end] + words[:k] + words[end:] for k in map(int, filter(None, ands.split(","))) for end in range(k + 1, len(words) + 1)]
+
+
 def body_likelihood(v: str, c: str) -> tuple[float, bool] | None:
     """The same for two spellings of organisations: a part of a name, a bare word or an acronym isn't sure by itself."""
     if v.startswith("acr:") or c.startswith("acr:"):
@@ -247,6 +261,16 @@ def body_likelihood(v: str, c: str) -> tuple[float, bool] | None:
             return None
         return (CUT - 1.0, True) if short == "".join(w[0] for w in other.partition("|")[0].split()) else None
     x, y = v.partition("|")[0].split(), c.partition("|")[0].split()
+    straight = _parts_likelihood(x, y)
+    if straight is not None and straight[0] >= TURNED:
+        return straight
+    turned = [_parts_likelihood(t, y) for t in turned_bodies(v)] + [_parts_likelihood(x, t) for t in turned_bodies(c)]
+    options = [(got[0] + TURNED, got[1]) for got in turned if got is not None] + ([straight] if straight is not None else [])
+    return max(options, key=lambda got: got[0]) if options else None
+
+
+def _parts_likelihood(x: list[str], y: list[str]) -> tuple[float, bool] | None:
+    """Words of two organisations one by one, in the order given."""
     if len(x) > len(y):
         x, y = y, x
     total = 0.0

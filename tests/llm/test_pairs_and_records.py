@@ -47,6 +47,22 @@ def test_bodies(spark):
     assert got == set(itertools.combinations(range(5), 2)) | {(5, 6)}
 
 
+def test_bodies_in_turned_order():
+    def score(v, c):
+        (v, _), (c, _) = names.parse("ORG", v), names.parse("ORG", c)
+        met = bool(names.blocking("ORG", v, "b") & names.blocking("ORG", c, "b"))
+        got = names.likelihood("ORG", v, c)
+        return met and got is not None and not got[1]
+
+    assert score("Stonebeck and Fairweather Partners", "Fairweather and Stonebeck Partners")
+    assert score("Greatrex and Blackwater Ford Partners", "Blackwater Ford and Greatrex Partners")
+    assert score("Greatrex & Blackwater Ford Partners", "Blackwater Ford Greatrex Partners")
+    assert score("Stonebeck and Fairweather Partners", "Fairwether & Stonebeck Partners Ltd")
+    assert score("Kes Poi Housing Association", "Kestrel Point Housing Association")
+    assert not score("Stonebeck and Fairweather Partners", "Fairweather and Stonebeck Builders")
+    assert not score("Stonebeck and Fairweather Partners", "Fairweather and Kestrel Partners")
+
+
 def test_names_dirt(spark):
     assert linked(spark) == set()
     rows = [(1, "PERSON", None, None), (1, "PERSON", " ", [None]), (1, "PERSON", "!!", []), (None, "PERSON", "A B", None), (1, None, "A B", None), (1, "PERSON", "x" * 5000, ["y z " * 2000]), (1, "ORG", ",", None), (1, "ORG", "Inc", None)]
