@@ -362,20 +362,29 @@ def scored_pairs(spellings: DataFrame) -> DataFrame:
     return found.select("graph_id", spelling_id("v").alias("v"), spelling_id("c").alias("c"), "level", "score", "weak")
 
 
-def components(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``graph_id, sid, entity`` of all ends of ``edges`` (``graph_id, a, b``): the least number of each connected component.
 
-    Repeated minimum of neighbours and of the neighbour's own label; only linked spellings take part.
+    Repeated minimum of neighbours; only linked spellings take part. Wide components don't take a round per link: from
+    the third round on, a label hears what its bearers heard, and bearers jump to their label's label. Ends when nothing
+    moves; labels not settled after ``rounds`` raise an error.
     """
     ways = checkpointed(edges.select("graph_id", "a", "b").unionByName(edges.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = ways.groupBy("graph_id", F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("graph_id", "sid", F.least("sid", "m").alias("entity"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         heard = ways.join(labels.withColumnRenamed("sid", "b"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("sid")).agg(F.min("entity").alias("told"))
-        after = checkpointed(labels.join(heard, ["graph_id", "sid"], "left").select("graph_id", "sid", F.least("entity", "told").alias("entity"), (F.col("told") < F.col("entity")).alias("moved")))
+        if turn >= 2:
+            heard = checkpointed(labels.join(heard, ["graph_id", "sid"]))
+            hooked = heard.select("graph_id", "sid", "told").unionByName(heard.where("told < entity").select("graph_id", F.col("entity").alias("sid"), "told"))
+            hooked = checkpointed(labels.join(hooked.groupBy("graph_id", "sid").agg(F.min("told").alias("told")), ["graph_id", "sid"]).select("graph_id", "sid", F.col("entity").alias("was"), F.least("entity", "told").alias("entity")))
+            beyond = hooked.select("graph_id", F.col("sid").alias("entity"), F.col("entity").alias("beyond"))
+            after = checkpointed(hooked.join(beyond, ["graph_id", "entity"]).select("graph_id", "sid", F.least("entity", "beyond").alias("entity"), (F.least("entity", "beyond") < F.col("was")).alias("moved")))
+        else:
+            after = checkpointed(labels.join(heard, ["graph_id", "sid"], "left").select("graph_id", "sid", F.least("entity", "told").alias("entity"), (F.col("told") < F.col("entity")).alias("moved")))
         labels = after.drop("moved")
         if after.where("moved").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components haven't settled after {rounds} rounds")
 
 
 def _attach(links: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:

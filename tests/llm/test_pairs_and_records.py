@@ -176,3 +176,13 @@ def test_true_values(spark):
     assert all(got[f"true{i}"] > 0.9 and got[f"bad{i}"] < 0.1 for i in range(12))
     one = survivor.fused(records(spark, *rows)).orderBy("node_key").first()
     assert one.aliases == ["true0"]
+
+
+def test_components_of_long_chains(spark):
+    order = np.random.default_rng(3).permutation(60).tolist()
+    chain = [(1, a, b) for a, b in itertools.pairwise(order)] + [(2, i, i + 1) for i in range(40)] + [(2, 100, 101)]
+    edges = spark.createDataFrame(chain, "graph_id bigint, a bigint, b bigint")
+    got = {(r.graph_id, r.sid): r.entity for r in names.components(edges).collect()}
+    assert got == {(1, i): 0 for i in range(60)} | {(2, i): 0 for i in range(41)} | {(2, 100): 100, (2, 101): 100}
+    with pytest.raises(RuntimeError):
+        names.components(edges, rounds=2)
