@@ -152,13 +152,15 @@ def pieces(word: str) -> frozenset[str]:
     """Beginnings and ends of a word, so long that one slip leaves one of them as it was.
 
     Their size follows the word's length; words at a change of size have pieces of both, since a slip may change the
-    length by one.
+    length by one. In four letters a swap in the middle changes both ends, and three have no such ends: these words
+    also have keys with one letter out (three letters as they are, since only a fourth one may be lost or added).
     """
     n = len(word)
     if n < 4:
         return frozenset({"=" + word})
     sizes = {2 if m <= 5 else 3 if m <= 8 else 4 for m in (n - 1, n, n + 1)}
-    return frozenset({"<" + word[:k] for k in sizes} | {">" + word[-k:] for k in sizes})
+    out = {"=" + word[:i] + word[i + 1 :] for i in range(n)} if n == 4 else set()
+    return frozenset({"<" + word[:k] for k in sizes} | {">" + word[-k:] for k in sizes} | out)
 
 
 def initials(word: str) -> set[str]:

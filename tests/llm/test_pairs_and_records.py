@@ -81,6 +81,28 @@ def test_pieces_meet_after_one_slip():
                 assert names.pieces(word) & names.pieces(other), (word, other)
 
 
+def test_pieces_lose_no_pair_of_the_one_letter_out_keys():
+    def shortened(word):
+        return {word} | ({word[:k] + word[k + 1 :] for k in range(len(word))} if len(word) > 3 else set())
+
+    words = ["".join(w) for n in (3, 4, 5) for w in itertools.product("abc", repeat=n)] + ["owen", "oewn", "hna", "hana", "zoe", "zoee"]
+    met = 0
+    for a, b in itertools.combinations(words, 2):
+        if names.word_slip(a, b) is not None and shortened(a) & shortened(b):
+            met += 1
+            assert names.pieces(a) & names.pieces(b), (a, b)
+    assert met > 1000
+    for a, b in (("Bob Oewn", "Robert Owen"), ("Zoe Ravstarn", "Zoee Ravstarn")):
+        a, b = names.parse("PERSON", a)[0], names.parse("PERSON", b)[0]
+        assert names.blocking("PERSON", a, "b") & names.blocking("PERSON", b, "b") and names.likelihood("PERSON", a, b)
+    one, several = names.parse("PERSON", "Hana")[0], names.parse("PERSON", "Hna Ravstarn")[0]
+    assert names.blocking("PERSON", one, "s") & names.blocking("PERSON", several, "f")
+    # Longer words: a swap at any place leaves a piece.
+    for word in ("abcde", "abcdef", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghij", "abcdefghijk"):
+        for i in range(len(word) - 1):
+            assert names.pieces(word) & names.pieces(word[:i] + word[i + 1] + word[i] + word[i + 2 :])
+
+
 def baskets(spark, rows):
     return spark.createDataFrame(rows, "basket string, graph_id bigint, set_id string, key string")
 
