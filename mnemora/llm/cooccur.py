@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from mnemora.runtime import checkpointed
 
-#: Terms of the upper tail that are summed beyond the observed count; below the mean the complement is used instead.
-TAIL_TERMS = 96
 FAMILY = ["basket", "graph_id"]
 
 
@@ -62,46 +60,91 @@ def fit_null(frequencies: np.ndarray, items: np.ndarray, sizes: np.ndarray, bask
     return np.clip(xy / (1.0 + xy), 0.0, 1.0)
 
 
+def binomial_sum_tails(q: np.ndarray, baskets: np.ndarray, at_least: np.ndarray) -> np.ndarray:
+    """P(X >= at_least[i]) for X the sum of ``baskets[c]`` Bernoulli trials with success ``q[i, c]`` for every class c.
+
+    Above the mean the distribution is tilted so that its mean becomes the observed count, and the tail is summed from
+    its characteristic function: what is left out is below 1e-16 of the result, whatever the count, and the
+    frequencies needed don't grow with it. Up to the mean the complement is taken the same way.
+    """
+    trials = np.broadcast_to(baskets.astype(float), q.shape)
+    sure = (q >= 1).astype(float)
+    k = at_least.astype(float) - (sure * trials).sum(axis=1)
+    m = trials * ((q > 0) & (q < 1))
+    q = np.where(m > 0, q, 0.5)
+    total = m.sum(axis=1)
+    below = (k <= (q * m).sum(axis=1)) & (k > 0)
+    q = np.where(below[:, None], 1.0 - q, q)
+    k = np.where(below, total - k + 1, k)
+    out = np.where(k <= 0, 1.0, 0.0)
+    # Every trial succeeds: one product; it also has no finite tilt.
+    every = (k > 0) & (k == total)
+    out[every] = np.exp((m[every] * np.log(q[every])).sum(axis=1))
+    left = np.flatnonzero((k > 0) & (k < total))
+    if left.size:
+        out[left] = _tilted_tails(q[left], m[left], k[left])
+    return np.clip(np.where(below, 1.0 - out, out), 0.0, 1.0)
+
+
+def _tilted_tails(q: np.ndarray, m: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The tails for ``mean < k < trials``, all ``q`` inside (0, 1)."""
+    odds = np.log(q) - np.log1p(-q)
+
+    def tilted(theta):
+        return 1.0 / (1.0 + np.exp(-np.clip(odds + theta[:, None], -700, 700)))
+
+    # Newton steps for the tilt, kept inside a bracket; a tilt near the root is as good as the root.
+    low, high = np.zeros(len(k)), np.full(len(k), 1.0)
+    while (short := (tilted(high) * m).sum(axis=1) < k).any():
+        high = np.where(short, high * 2, high)
+    theta = np.clip(np.log(k / (q * m).sum(axis=1)), low, high)
+    for _ in range(100):
+        p = tilted(theta)
+        mean, variance = (p * m).sum(axis=1), (p * (1 - p) * m).sum(axis=1)
+        if (np.abs(mean - k) <= 1e-3 * np.sqrt(variance)).all():
+            break
+        low, high = np.where(mean < k, theta, low), np.where(mean < k, high, theta)
+        step = theta + (k - mean) / np.maximum(variance, 1e-300)
+        theta = np.where((step > low) & (step < high), step, (low + high) / 2)
+    p = tilted(theta)
+    sd = np.sqrt((p * (1 - p) * m).sum(axis=1))
+    scale = np.exp((m * (np.logaddexp(0.0, odds + theta[:, None]) - np.logaddexp(0.0, odds))).sum(axis=1) - theta * k)
+    # Windows of powers of two beyond ten standard deviations; frequencies until the characteristic function vanishes.
+    window = np.ceil(np.log2(10 * sd + 32)).astype(int)
+    out = np.zeros(len(k))
+    for w in np.unique(window):
+        mine = np.flatnonzero(window == w)
+        half = 2.0**w
+        freqs = int(min(half, np.ceil(15 / sd[mine].min() * half / np.pi)))
+        step = max(1, int(1_000_000 // (q.shape[1] * (freqs + 1))))
+        omega = np.pi / half * np.arange(freqs + 1)
+        weight = np.where((np.arange(freqs + 1) == 0) | (np.arange(freqs + 1) == half), 1.0, 2.0)
+        turn = np.expm1(1j * omega)
+        for i in (mine[j : j + step] for j in range(0, len(mine), step)):
+            psi = np.exp((m[i][:, :, None] * np.log1p(p[i][:, :, None] * turn)).sum(axis=1) - 1j * omega * k[i][:, None])
+            z = -(theta[i][:, None] + 1j * omega)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                series = np.where(z == 0, half, np.expm1(z * half) / np.expm1(z))
+            out[i] = (weight * (psi * series).real).sum(axis=1) / (2 * half)
+    return out * scale
+
+
 def poisson_binomial_tail(q: np.ndarray, baskets: np.ndarray, at_least: int) -> float:
-    """P(X >= at_least) for X the sum of ``baskets[c]`` Bernoulli trials with success ``q[c]`` for every class c."""
-    if at_least <= 0:
-        return 1.0
-    mean = float((q * baskets).sum())
-    most = int(baskets[q > 0].sum())
-    if at_least > most:
-        return 0.0
-    terms = at_least if mean >= at_least else min(at_least + TAIL_TERMS, most + 1)
-    pmf = np.zeros(terms)
-    pmf[0] = 1.0
-    for prob, trials in zip(q, baskets, strict=True):
-        if prob <= 0 or trials <= 0:
-            continue
-        k = np.arange(min(int(trials) + 1, terms))
-        if prob >= 1:
-            one = np.zeros(min(int(trials) + 1, terms))
-            if trials < terms:
-                one[-1] = 1.0
-        else:
-            steps = np.log(np.maximum(trials - k[1:] + 1, 1e-300)) - np.log(k[1:]) + np.log(prob) - np.log1p(-prob)
-            one = np.exp(np.concatenate([[0.0], np.cumsum(steps)]) + trials * np.log1p(-prob))
-        pmf = np.convolve(pmf, one)[:terms]
-    tail = pmf[at_least:].sum() if mean < at_least else 1.0 - pmf.sum()
-    return float(min(1.0, max(0.0, tail)))
+    """``binomial_sum_tails`` of one case."""
+    return float(binomial_sum_tails(np.asarray(q, dtype=float)[None, :], np.asarray(baskets), np.array([at_least]))[0])
 
 
 def _tail_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each (family, frequency pair, count): expected count and tail probability under the family's fitted null."""
+    columns = ["basket", "graph_id", "n_low", "n_high", "n_ab", "expected", "p_value"]
     for pdf in batches:
-        out = []
         for row in pdf.itertuples(index=False):
             f, n = np.array([h["degree"] for h in row.frequencies]), np.array([h["n"] for h in row.frequencies])
             s, m = np.array([h["degree"] for h in row.sizes]), np.array([h["n"] for h in row.sizes])
             p = fit_null(f, n, s, m)
-            place = {d: i for i, d in enumerate(f.tolist())}
-            for c in row.cases:
-                q = p[place[c["n_low"]]] * p[place[c["n_high"]]]
-                out.append((row.basket, row.graph_id, c["n_low"], c["n_high"], c["n_ab"], float((q * m).sum()), poisson_binomial_tail(q, m, c["n_ab"])))
-        yield pd.DataFrame(out, columns=["basket", "graph_id", "n_low", "n_high", "n_ab", "expected", "p_value"])
+            case = np.array([(c["n_low"], c["n_high"], c["n_ab"]) for c in row.cases])
+            q = p[np.searchsorted(f, case[:, 0])] * p[np.searchsorted(f, case[:, 1])]
+            yield pd.DataFrame({"basket": row.basket, "graph_id": row.graph_id, "n_low": case[:, 0], "n_high": case[:, 1], "n_ab": case[:, 2], "expected": (q * m).sum(axis=1), "p_value": binomial_sum_tails(q, m, case[:, 2])}, columns=columns)
 
 
 def pair_counts(baskets: DataFrame, least: dict[str, int], lift: float = 0.0) -> DataFrame:

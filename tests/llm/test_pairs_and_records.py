@@ -141,6 +141,23 @@ def test_null_keeps_degrees_and_tail_is_exact():
         assert cooccur.poisson_binomial_tail(q, trials, k) == pytest.approx(dist[k:].sum(), abs=1e-12)
 
 
+def test_tail_is_whole_at_any_mean():
+    q, trials = np.array([0.3, 1e-3, 0.9]), np.array([30, 500, 7])
+    dist = np.array([1.0])
+    for prob, n in zip(q, trials, strict=True):
+        for _ in range(n):
+            dist = np.convolve(dist, [1 - prob, prob])
+    for k in range(0, 60):
+        assert cooccur.poisson_binomial_tail(q, trials, k) == pytest.approx(dist[k:][::-1].sum(), rel=1e-9)
+    assert cooccur.poisson_binomial_tail(np.array([0.5, 1.0]), np.array([3, 2]), 5) == pytest.approx(1 / 8)
+    assert cooccur.poisson_binomial_tail(np.array([0.5, 0.0]), np.array([3, 2]), 4) == 0.0
+    # Far more terms than any fixed window: the tail of a normal distribution.
+    for mean in (1e4, 1e5, 1e6):
+        p, n = np.array([1e-4]), np.array([int(mean * 1e4)])
+        assert cooccur.poisson_binomial_tail(p, n, int(mean) + 1) == pytest.approx(0.5, abs=0.01)
+        assert cooccur.poisson_binomial_tail(p, n, int(mean + mean**0.5) + 1) == pytest.approx(0.1587, abs=0.005)
+
+
 def test_surprise(spark):
     data = [("read", 1, str(i), k) for i in range(60) for k in (["x", "y"] if i < 8 else [f"z{i % 7}", f"w{i % 5}"])]
     got = {(r.key_a, r.key_b): r for r in cooccur.surprising_pairs(baskets(spark, data), {"read": 1}).collect()}
