@@ -172,13 +172,14 @@ def surprising_pairs(baskets: DataFrame, least: dict[str, int] | None = None, li
     """Pairs of keys of one graph with their exact counts and their surprise under the fitted null.
 
     ``baskets`` has distinct ``(basket, graph_id, set_id, key)``. Returns ``basket, graph_id, key_a, key_b`` (smaller
-    key first), ``n_ab, n_a, n_b, n_sets, lift, expected, p_value, q_value`` for the pairs that ``pair_counts`` keeps.
+    key first), ``n_ab, n_a, n_b, n_sets, lift, expected, p_value, q_value`` for the pairs that ``pair_counts`` keeps: without
+    ``least``, every pair that ever meets. With a higher ``least`` the q-values count the pairs below it as not rejected.
     q-values control the false discovery rate over all pairs of a family's keys, also those never met together (their
     p-value is 1); with ``lift`` above 0 the pairs below it count as not rejected, which makes q-values no smaller.
     Defined cases: null and repeated keys in a record count once or not at all; baskets of one key give no pair but
     count in ``n_sets``; ties of p-values share a q-value; an empty table gives no rows.
     """
-    least = least or {"read": 6, "episode": 4}
+    least = least or {"read": 1, "episode": 1}
     counts = checkpointed(pair_counts(baskets, least, lift))
     degree_f = baskets.groupBy(*FAMILY, "key").agg(F.count(F.lit(1)).alias("degree"))
     degree_s = baskets.groupBy(*FAMILY, "set_id").agg(F.count(F.lit(1)).alias("degree"))

@@ -9,7 +9,7 @@ QUERIES = {
     "p1_found": lambda spark, d: names.same_entity_pairs(table(spark, d, "nodes")),
     "p1_entities": lambda spark, d: names.attributed(table(spark, d, "nodes")),
     "p2_found": lambda spark, d: cooccur.found_pairs(table(spark, d, "read_trace"), table(spark, d, "nodes")),
-    "p2_surprise": lambda spark, d: cooccur.surprising_pairs(cooccur.read_baskets(table(spark, d, "read_trace")).unionByName(cooccur.episode_baskets(table(spark, d, "nodes")))),
+    "p2_surprise": lambda spark, d: cooccur.surprising_pairs(cooccur.read_baskets(table(spark, d, "read_trace")).unionByName(cooccur.episode_baskets(table(spark, d, "nodes"))), {"read": 1, "episode": 1}),
     "p3_found": lambda spark, d: survivor.survivors(table(spark, d, "node_records")),
     "p3_truth": lambda spark, d: survivor.true_values(table(spark, d, "node_records")),
     "p3_fused": lambda spark, d: survivor.fused(table(spark, d, "node_records")),

@@ -166,6 +166,17 @@ def test_surprise(spark):
     assert all(r.p_value <= r.q_value <= 1 for r in got.values())
 
 
+def test_surprise_query_has_pairs_met_once(spark, tmp_path):
+    from mnemora.llm.queries import QUERIES
+
+    trace = [(i, 1, ["a"], ["b"]) if i == 0 else (i, 1, [f"n{i % 9}"], [f"m{i % 5}"]) for i in range(40)]
+    spark.createDataFrame(trace, "read_id bigint, graph_id bigint, seeds array<string>, selected array<string>").write.parquet(f"{tmp_path}/read_trace.parquet")
+    spark.createDataFrame([(1, "p", ["e"]), (1, "q", ["e"])], "graph_id bigint, key string, source_episode_ids array<string>").write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {(r.basket, r.key_a, r.key_b): r for r in QUERIES["p2_surprise"](spark, str(tmp_path)).collect()}
+    assert got["read", "a", "b"].n_ab == 1 and ("episode", "p", "q") in got
+    assert {(r.n_ab) for r in got.values() if r.basket == "read"} == {1}
+
+
 def test_found_pairs(spark):
     trace = [(i, 1, ["a", None, "a"], ["b"]) for i in range(6)] + [(i, 1, None, [f"n{i}"]) for i in range(6, 40)] + [(0, 1, ["a"], ["b"])] + [(50, 1, [], None), (None, 1, ["q"], None)]
     node = [(1, k, ["e1", "e1", None, "e2", "e3", "e4"]) for k in ("p", "q", "p")] + [(1, f"m{i}", [f"x{i}"]) for i in range(30)] + [(1, None, ["e1"]), (1, "r", None)]
