@@ -231,7 +231,16 @@ def numbered_turns(turns: DataFrame, conversation: str = "conv_id", order: str =
     return turns.withColumn("turn", F.row_number().over(Window.partitionBy(conversation).orderBy(order)))
 
 
-def conversation_jsonl(turns: DataFrame, conversation: str, order: str, fields: list[str]) -> DataFrame:
-    """``conversation, jsonl``: each conversation's turns as JSON lines in order."""
-    rows = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct(*fields)).alias("j")))).alias("r"))
-    return rows.select(conversation, F.array_join(F.transform("r", lambda x: x["j"]), "\n").alias("jsonl"))
+def conversation_jsonl(turns: DataFrame, conversation: str, order: str, fields: list[str], part_chars: int = 1 << 20, unnamed: str = "(null)") -> DataFrame:
+    """``conversation, part, jsonl``: each conversation's turns as JSON lines in order, nulls written out.
+
+    A conversation comes in numbered parts (numbers are left out after a very long turn); joined with newlines, they are
+    the whole. A part has the turns that begin within one multiple of ``part_chars``, so only its last can pass that. Only turn sizes of one conversation
+    meet in a task, never its texts. Turns of a null conversation are the conversation ``unnamed``.
+    """
+    rows = turns.select(F.coalesce(F.col(conversation).cast("string"), F.lit(unnamed)).alias(conversation), F.col(order).alias("o"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("j"))
+    sizes = rows.groupBy(conversation, "o").agg(F.sum(F.length("j").cast("bigint") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(conversation).orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select(F.col(conversation).alias("_c"), F.col("o").alias("_o"), F.floor(F.coalesce(before, F.lit(0)) / part_chars).alias("part"))
+    parted = rows.join(placed, (F.col(conversation) == F.col("_c")) & F.col("o").eqNullSafe(F.col("_o"))).groupBy(conversation, "part").agg(F.array_sort(F.collect_list(F.struct("o", "j"))).alias("r"))
+    return parted.select(conversation, "part", F.array_join(F.transform("r", lambda x: x["j"]), "\n").alias("jsonl"))

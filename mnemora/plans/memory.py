@@ -182,7 +182,7 @@ QUERIES = {
     "a18_health": lambda s, d: nodes(s, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("kind").alias("kinds")).join(edges(s, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("relation").alias("relations")), "graph_id", "full_outer"),
     "k17_last_read": lambda s, d: table(s, d, "read_trace").groupBy("graph_id").agg(F.max(F.struct("ts", "received_at", "read_id")).alias("m")).select("graph_id", "m.read_id"),
     "s29_high_water": lambda s, d: table(s, d, "read_trace").select("graph_id", "read_id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy("graph_id").orderBy("read_id"))).join(table(s, d, "read_trace").where("ts < '2025-06-01'").groupBy("graph_id").agg(F.countDistinct("read_id").alias("done")), "graph_id", "left").where(F.col("turn") > F.coalesce("done", F.lit(0))).groupBy("graph_id").agg(F.count(F.lit(1)).alias("pending")),
-    "s14_conversation_jsonl": lambda s, d: C.conversation_jsonl(table(s, d, "documents").where("text is not null and speaker is not null").select(F.col("speaker").alias("conv_id"), "doc_id", "lang"), "conv_id", "doc_id", ["doc_id", "lang"]).select("conv_id", F.md5("jsonl").alias("digest")),
+    "s14_conversation_jsonl": lambda s, d: C.conversation_jsonl(table(s, d, "documents").withColumn("conv_id", F.col("speaker")), "conv_id", "doc_id", ["doc_id", "speaker", "lang", "text"]),
 }
 
 _NOUN_SEARCH = (

@@ -92,3 +92,19 @@ def test_campaign_tables_link(spark):
     linked = t["turn"].join(t["session"].select("campaign_id", "doc", "pre", "post", t["session"].session_pos.alias("p")), ["campaign_id", "doc"]).where("session_pre = pre and session_post = post")
     assert sorted((r.item, r.p) for r in linked.collect()) == [("a", 0), ("b", 1)]
     assert rows(campaign_items(spark.createDataFrame([], "campaign_id bigint, payload string"))) == []
+
+
+def test_conversation_jsonl_exports_whole_turns(spark, tmp_path):
+    import __spark_entry__ as entry
+    from mnemora.operators import consolidate as C
+
+    docs = [(3, "Ann", "en", "third"), (1, "Ann", None, "fürst"), (2, None, "de", "x"), (4, "Bo", "en", None), (5, None, "fr", "")]
+    schema = "doc_id bigint, speaker string, lang string, text string"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.conv_id: [json.loads(x) for x in r.jsonl.split("\n")] for r in entry.queries()["s14_conversation_jsonl"](spark, str(tmp_path)).collect()}
+    row = lambda i: dict(zip(("doc_id", "speaker", "lang", "text"), next(d for d in docs if d[0] == i), strict=True))
+    assert got == {"Ann": [row(1), row(3)], "(null)": [row(2), row(5)], "Bo": [row(4)]}
+    many = spark.createDataFrame([(i, "Ann", "en", "w" * 50) for i in range(40)], schema)
+    parts = C.conversation_jsonl(many, "speaker", "doc_id", ["doc_id", "text"], 300).orderBy("part").collect()
+    assert len(parts) > 5 and all(len(r.jsonl) < 300 + 90 for r in parts)
+    assert [json.loads(x)["doc_id"] for r in parts for x in r.jsonl.split("\n")] == list(range(40))
