@@ -146,6 +146,7 @@ QUERIES = {
     "w06_top_snippets": lambda s, d: Gr.snippets(chosen(s, d), edges(s, d), LOW),
     "g08_context_text": lambda s, d: Re.read_from_seeds(trace_seeds(s, d), nodes(s, d), edges(s, d), LOW)["context"].select("ask", "graph_id", "text"),
     "g09_event_trace": lambda s, d: Gr.event_trace(trace_seeds(s, d), Gr.adjacency(edges(s, d)), RetrievalConfig(max_depth=1)).select("ask", "graph_id", "edge_id", "to_key", "direction", F.round("contribution", 6).alias("contribution"), F.round("running", 6).alias("running")),
+    "g09_event_trace_deep": lambda s, d: Gr.event_trace(trace_seeds(s, d), Gr.adjacency(edges(s, d))),
     "s30_index_inputs": lambda s, d: C.index_inputs(nodes(s, d), edges(s, d)),
     "j06_nearest_vectors": _knn,
     "a16_corpus_mean": lambda s, d: table(s, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")),

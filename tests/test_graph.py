@@ -102,6 +102,29 @@ def test_trace_keeps_totals(spark):
     assert last["C"] == pytest.approx(act["C"].score) and last["A"] == pytest.approx(act["A"].score)
 
 
+def test_deep_trace_query_crosses_two_hops(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    links = [("A", "B", 30.0), ("B", "C", 10.0), ("C", "A", 20.0), ("C", "D", 40.0), ("D", "E", 5.0)]
+    spark.createDataFrame([(1, k, k, None) for k in "ABCDE"], "graph_id bigint, id string, key string, created_at string").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(1, f"e{i}", f"{s}R{t}", s, "R", t, w) for i, (s, t, w) in enumerate(links)], "graph_id bigint, id string, key string, source_key string, relation string, target_key string, strength double").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(7, 1, ["A", "A", None])], "read_id bigint, graph_id bigint, seeds array<string>").write.parquet(f"{tmp_path}/read_trace.parquet")
+    ways = [(s, t, f"e{i}", "F", w) for i, (s, t, w) in enumerate(links)] + [(t, s, f"e{i}", "R", w) for i, (s, t, w) in enumerate(links)]
+    total = {k: sum(w for f, *_, w in ways if f == k) for k in "ABCDE"}
+    front, running, want = {"A": 1.0}, {"A": 1.0}, {}
+    for hop in (1, 2):
+        after = {}
+        for f, t, e, d, w in sorted(ways, key=lambda x: (x[2], x[3])):
+            if f in front:
+                c = front[f] * w / total[f] * 0.6
+                after[t], running[t] = after.get(t, 0.0) + c, running.get(t, 0.0) + c
+                want[hop, e, f, t, d] = (pytest.approx(c), pytest.approx(running[t]))
+        front = after
+    got = entry.queries()["g09_event_trace_deep"](spark, str(tmp_path)).collect()
+    assert {(r.hop, r.edge_id, r.from_key, r.to_key, r.direction): (r.contribution, r.running) for r in got} == want
+    assert {r.hop for r in got} == {1, 2} and len(got) == len(want)
+
+
 def test_margin_gate(spark):
     def accepted(*scores):
         df = spark.createDataFrame([(1, "n", f"k{i}", s, i + 1) for i, s in enumerate(scores)], "graph_id bigint, noun string, key string, score double, rank int")
