@@ -2,7 +2,10 @@
 
 import json
 
-from mnemora.operators.nested import campaign_items, campaign_tables, interval_nodes, unwrap_json
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from mnemora.operators.nested import _deep_json, campaign_items, campaign_tables, interval_nodes, unwrap_json
 from mnemora.operators.snapshots import snapshot_changes
 
 SNAP = "graph_id bigint, key string, snapshot_no bigint, name string, kind string, confidence double, aliases array<string>, change_kind string"
@@ -36,6 +39,11 @@ def test_changes_of_several_rows_per_key(spark):
     assert rows(snapshot_changes(spark.createDataFrame(data, SNAP))) == [(1, "a", 1, "changed"), (1, "b", 1, "added")]
 
 
+def test_changes_of_a_hot_key(spark):
+    data = [(1, "a", n, f"A{i}", "X", 0.5, None, None) for n in (0, 1, 2) for i in range(300 - (n == 2))] + [(1, "b", n, "B", "X", 0.5, None, None) for n in (0, 1, 2)]
+    assert rows(snapshot_changes(spark.createDataFrame(data, SNAP))) == [(1, "a", 2, "changed")]
+
+
 def test_changes_of_nothing(spark):
     assert rows(snapshot_changes(spark.createDataFrame([], SNAP))) == []
 
@@ -49,12 +57,40 @@ def test_unwrap():
         assert unwrap_json(t) is None
 
 
+def test_unwrap_deep_and_often():
+    depth = 100_000
+    root = unwrap_json('{"sessions": [], "a": ' + "[" * depth + "1" + "]" * depth + "}")
+    assert sum(1 for _ in interval_nodes(root)) == depth + 3
+    for bad in ("[" * depth, "[" * depth + "1" + "]" * (depth - 1), '{"a":' * depth + "1" + "}" * depth + "x", '{"a" 1' + "}" * depth):
+        assert unwrap_json(bad) is None
+    text = json.dumps({"sessions": []})
+    for _ in range(12):
+        text = "```json\n" + json.dumps(text) + "\n```"
+    assert unwrap_json(text) == {"sessions": []}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)))
+@settings(max_examples=200, deadline=None)
+def test_explicit_stack_reads_as_the_decoder(value):
+    for indent in (None, 1):
+        assert _deep_json(json.dumps(value, indent=indent)) == value
+
+
+def test_items_below_deep_values(spark):
+    deep = "[" * 30_000 + "1" + "]" * 30_000
+    text = '{"x": ' + deep + ', "sessions": [{"turns": [{"meta": ' + deep + ', "text": "hi"}]}]}'
+    got = rows(campaign_items(spark.createDataFrame([(1, text)], "campaign_id bigint, payload string")))
+    assert got == [(1, 0, "turn", 0, 0, "hi")]
+
+
 def test_intervals_contain():
     nodes = list(interval_nodes({"a": [{"b": 1}, {"b": None}], "c": "x"}))
-    by = {n[3]: n for n in nodes if n[3] in ("$", "$.a", "$.c")}
-    inside = {n[3] for n in nodes if by["$.a"][0] < n[0] and n[1] < by["$.a"][1]}
-    assert inside == {"$.a[]", "$.a[].b"}
+    a = next(n for n in nodes if n[4] == "a")
+    inside = sorted(n[4] for n in nodes if a[0] < n[0] and n[1] < a[1])
+    assert inside == ["[]", "[]", "b", "b"]
     assert sorted(n[0] for n in nodes) == list(range(len(nodes))) == sorted(n[1] for n in nodes)
+    by = {n[0]: n for n in nodes}
+    assert all(n[3] == -1 or by[n[3]][0] < n[0] and n[1] < by[n[3]][1] and by[n[3]][2] == n[2] - 1 for n in nodes)
 
 
 def test_campaign_items(spark):
