@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names, or in local mode, where one machine runs everything, a private one of this process."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="mnemora-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so its lineage ends there and survives lost executors.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a private one is set only where none is configured.
+    The cluster names the folder in ``spark.checkpoint.dir``; only a local session may leave it unset.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), f"mnemora-checkpoint-{os.getuid()}"))
+        sc.setCheckpointDir(_checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
