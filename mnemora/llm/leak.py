@@ -6,7 +6,9 @@ neighbouring diagonals of one document and item are then joined by a local align
 lost or added words are found whole. The corpus is read once by a narrow map: nothing is shuffled but the result.
 
 A shard is one Arrow batch of whole documents. Only suffixes that begin with ``SEED`` words of the test vocabulary can
-match a test suffix, so only those stand in the array.
+match a test suffix, so only those stand in the array. What depends on all test items at once (procedural formulas,
+words that a misspelling could equally mean) is counted over all of them before they are cut into blocks, so a
+block's matches don't depend on the cut.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from mnemora.runtime import checkpointed
 
 #: Words that a verbatim seed has; words that seeds of one diagonal band must cover together before they are aligned.
 SEED, COVERED = 3, 8
@@ -29,8 +34,12 @@ BAND = 16
 EQUAL, ODD = 2, -1
 #: Least alignment score and span in item words of a case: a verbatim phrase of 15 words scores 30 and is none.
 LEAST_SCORE, LEAST_SPAN = 31, 17
-#: Text bytes of test items that go to the executors at once; larger sets are taken in blocks of this size.
-BLOCK_BYTES = 8_000_000
+#: Characters of test items that go to the executors at once; larger sets are taken in hashed blocks of about this size.
+BLOCK_CHARS = 8_000_000
+#: Pairs of positions that a shard holds at once; with more it's cut by documents, then by items.
+PAIRS_AT_ONCE = 4_000_000
+#: Sentences of at most so many words can be formulas.
+FORMULA_WORDS = 20
 #: Distinct corpus words that a Python worker remembers; beyond it the memory starts afresh (results are the same).
 REMEMBERED = 500_000
 
@@ -46,7 +55,11 @@ _ALIKE = str.maketrans(dict(zip("аеорсухіѕјԁһκνοραι", "aeopcyx
 
 def words_of(text: str) -> list[str]:
     """The words of a text, apart from writing and setting: case, accents, compatibility forms, asides in brackets,
-    words broken at a line end, invisible characters, and digits inside words that stand for letters."""
+    words broken at a line end, invisible characters, and digits inside words that stand for letters.
+
+    An aside (a column mark, a call from the floor) is bracketed text of up to 60 characters without a line break or
+    an inner bracket; longer bracketed text is part of the speech and keeps its words.
+    """
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = _MARKS.sub("", text)
@@ -63,12 +76,42 @@ def latin_if_mixed(word: str) -> str:
     return other if other.isascii() else word
 
 
+def out_of(word: str) -> set[str]:
+    """A word with each way to leave one letter out; short words have none."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))} if len(word) >= 4 else set()
+
+
+def folded(text: str) -> list[str]:
+    return [latin_if_mixed(w) for w in words_of(text)]
+
+
+def sentence_ends(text: str) -> list[tuple[bool, str, int]]:
+    """``(may be a formula, words, their number)`` of each sentence: short ones among the first and last two of a text may."""
+    sentences = [s for s in map(folded, re.split(r"(?<=[.!?:;])\s+", text)) if s]
+    ends = {0, 1, len(sentences) - 1, len(sentences) - 2}
+    return [(k in ends and len(s) <= FORMULA_WORDS, " ".join(s), len(s)) for k, s in enumerate(sentences)]
+
+
+def item_facts(text: str) -> set[tuple[str, str, str]]:
+    """``(kind, text, by)`` of one item: its possible formulas (by the item's words) and shortened words (by the word).
+
+    A formula or a shortened word that two different items or words share is ``shared``.
+    """
+    words = folded(text)
+    whole = " ".join(words)
+    return {("formula", s, whole) for may, s, _ in sentence_ends(text) if may} | {("short", v, w) for w in set(words) for v in out_of(w)}
+
+
 class Items:
-    """A block of test items: vocabulary, suffixes, and which words belong to procedural formulas."""
+    """A block of test items: vocabulary, suffixes, and which words belong to procedural formulas.
+
+    ``shared`` has the ``(kind, text)`` that several items (formulas) or words (shortened words) of the whole test set
+    have in common, as far as they occur in the block.
+    """
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
-        self.ids, self.index = ids, {}
-        words = [[latin_if_mixed(w) for w in words_of(t)] for t in texts]
+    def __init__(self, ids: list, texts: list[str], shared: set[tuple[str, str]] = frozenset()) -> None:
+        self.ids = ids
+        words = [folded(t) for t in texts]
         vocabulary: dict[str, int] = {}
         flat, start = [], [0]
         for ws in words:
@@ -77,44 +120,24 @@ class Items:
         self.vocabulary = vocabulary
         self.flat, self.start = np.array(flat, "int64"), np.array(start, "int64")
         self.owner = np.repeat(np.arange(len(ids)), np.diff(self.start))
-        self.formula = self._formulas(texts)
+        #: Marks the words of opening and closing sentences that stand, whole, at an end of at least two different items.
+        self.formula = np.zeros(len(flat), bool)
+        for n, text in enumerate(texts):
+            at = start[n]
+            for may, sentence, size in sentence_ends(text):
+                if may and ("formula", sentence) in shared and at + size <= start[n + 1]:
+                    self.formula[at : at + size] = True
+                at += size
         #: Words by each way to leave one letter out, to recognise a word with one wrong, lost or added letter.
-        self.near: dict[str, int] = {}
-        for w, i in vocabulary.items():
-            if len(w) >= 4:
-                for v in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
-                    self.near[v] = i if self.near.get(v, i) == i else 0
-
-    def _formulas(self, texts: list[str]) -> np.ndarray:
-        """Marks the words of opening and closing sentences that stand, whole, at an end of at least two different items."""
-        found: dict[tuple, set] = {}
-        cut = []
-        for n, t in enumerate(texts):
-            sentences = [tuple(latin_if_mixed(w) for w in words_of(s)) for s in re.split(r"(?<=[.!?:;])\s+", t)]
-            sentences = [s for s in sentences if s]
-            ends = {0, 1, len(sentences) - 1, len(sentences) - 2} & set(range(len(sentences)))
-            cut.append((sentences, ends))
-            for k in ends:
-                found.setdefault(sentences[k], set()).add(tuple(self.flat[self.start[n] : self.start[n + 1]]))
-        mark = np.zeros(len(self.flat), bool)
-        for n, (sentences, ends) in enumerate(cut):
-            at = self.start[n]
-            for k, s in enumerate(sentences):
-                if k in ends and len(found[s]) > 1 and len(s) <= 20 and at + len(s) <= self.start[n + 1]:
-                    mark[at : at + len(s)] = True
-                at += len(s)
-        return mark
+        self.near = {v: i for w, i in vocabulary.items() for v in out_of(w) if ("short", v) not in shared}
 
     def code(self, word: str) -> int:
-        """Number of the item word that a corpus word stands for, 0 if none."""
+        """Twice the number of the item word that a corpus word stands for, plus 1 if it is that very word; 0 if none."""
         word = latin_if_mixed(word)
         own = self.vocabulary.get(word)
-        if own is not None or len(word) < 4:
-            return own or 0
-        for v in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))):
-            if got := self.near.get(v):
-                return got
-        return 0
+        if own is not None:
+            return 2 * own + 1
+        return next((2 * got for v in (word, *out_of(word)) if (got := self.near.get(v))), 0) if len(word) >= 4 else 0
 
 
 def suffix_array(tokens: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -137,27 +160,39 @@ def suffix_array(tokens: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray,
     return at[order], packed[order], depth
 
 
-def seeds_in(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (shard position, item position) that share ``SEED`` words, formulas aside, by binary search of every item suffix."""
-    base = len(items.vocabulary) + 1
-    order, keys, depth = suffix_array(tokens, base)
+def item_suffixes(items: Items) -> np.ndarray:
+    """Positions of all item suffixes that begin with ``SEED`` words of one item, formulas aside."""
     at = np.arange(max(0, len(items.flat) - SEED + 1))
     whole = items.owner[at] == items.owner[at + SEED - 1]
     for k in range(SEED):
         whole &= ~items.formula[at + k]
-    at = at[whole]
+    return at[whole]
+
+
+def seeds_in(tokens: np.ndarray, items: Items, at: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs (shard position, item position) that share ``SEED`` words, by binary search of every item suffix (or those ``at``).
+
+    None if there are more than ``most``: they are counted before any is written out.
+    """
+    base = len(items.vocabulary) + 1
+    order, keys, depth = suffix_array(tokens, base)
+    at = item_suffixes(items) if at is None else at
     prefix = np.zeros(len(at), "int64")
     for k in range(SEED):
         prefix = prefix * base + items.flat[at + k]
     step = base ** (depth - SEED)
     left, right = np.searchsorted(keys, prefix * step), np.searchsorted(keys, (prefix + 1) * step)
     n = right - left
+    if most is not None and n.sum() > most:
+        return None
     first = np.repeat(left - np.concatenate([[0], np.cumsum(n)])[:-1], n)
     return order[first + np.arange(n.sum())], np.repeat(at, n)
 
 
 def longest_runs(pair: np.ndarray, p: np.ndarray, s: np.ndarray) -> dict[int, int]:
     """Longest verbatim match in words of each pair: seeds that follow one another on one diagonal."""
+    if not len(p):
+        return {}
     order = np.lexsort((s, p - s, pair))
     pair, p, s = pair[order], p[order], s[order]
     new = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(p - s) != 0) | (np.diff(s) != 1)])
@@ -223,12 +258,31 @@ def shard_matches(texts: list[str | None], items: Items, known: dict[str, int])
                 flat += [known[w] for w in words]
         flat.append(0)
         start.append(len(flat))
-    tokens, begin = np.array(flat, "int64"), np.array(start, "int64")
-    p, s = seeds_in(tokens, items)
+    codes = np.array(flat, "int64")
+    return _matches(codes >> 1, codes & 1, np.array(start, "int64"), items, item_suffixes(items))
+
+
+def _matches(tokens: np.ndarray, exact: np.ndarray, begin: np.ndarray, items: Items, at: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+    """Matches of the texts that begin at ``begin`` (the last entry is their end) with the item suffixes ``at``.
+
+    Texts and items are independent, so a shard with too many pairs at once is cut in halves by texts, then by items.
+    """
+    docs = len(begin) - 1
+    owners = np.unique(items.owner[at])
+    found = seeds_in(tokens, items, at, PAIRS_AT_ONCE if docs > 1 or len(owners) > 1 else None)
+    if found is None and docs > 1:
+        half = docs // 2
+        cut = begin[half]
+        left = _matches(tokens[:cut], exact[:cut], begin[: half + 1], items, at)
+        return left + [(d + half, *rest) for d, *rest in _matches(tokens[cut:], exact[cut:], begin[half:] - cut, items, at)]
+    if found is None:
+        first = items.owner[at] < owners[len(owners) // 2]
+        return _matches(tokens, exact, begin, items, at[first]) + _matches(tokens, exact, begin, items, at[~first])
+    p, s = found
     if not len(p):
         return []
     doc, item = np.searchsorted(begin, p, "right") - 1, items.owner[s]
-    shift = p - begin[doc] - (s - items.start[item]) + int(np.diff(items.start).max()) + BAND
+    shift = p - begin[doc] - (s - items.start[item]) + -(-int(np.diff(items.start).max()) // BAND) * BAND + BAND
     both = doc * len(items.ids) + item
     found = []
     # Two sets of bands, half a band apart, so that no passage is cut by a band's edge.
@@ -273,48 +327,70 @@ def shard_matches(texts: list[str | None], items: Items, known: dict[str, int])
         for n, (d, i, _, _) in enumerate(chunk):
             if score[n] > best.get((d, i), (0, 0))[0]:
                 best[d, i] = (float(score[n]), int(span[n]))
-    hit = np.isin(both, [d * len(items.ids) + i for d, i in best])
-    runs = longest_runs(both[hit], p[hit], s[hit]) if best else {}
-    return [(d, i, score, span, int(runs[d * len(items.ids) + i])) for (d, i), (score, span) in best.items()]
+    hit = np.isin(both, [d * len(items.ids) + i for d, i in best]) & np.all([exact[p + k] == 1 for k in range(SEED)], axis=0)
+    runs = longest_runs(both[hit], p[hit], s[hit])
+    return [(d, i, score, span, int(runs.get(d * len(items.ids) + i, 0))) for (d, i), (score, span) in best.items()]
+
 
+def blocks_of(eval_items: DataFrame, block_chars: int) -> Iterator[tuple[list, list, set]]:
+    """``ids, texts, shared`` of the test items in hashed blocks of about ``block_chars`` characters.
 
-def leaks(documents: DataFrame, eval_items: DataFrame, least_score: float = LEAST_SCORE, least_span: int = LEAST_SPAN) -> DataFrame:
+    Only one block at a time is on the driver; formulas and shared shortened words are counted over all items.
+    """
+    asked = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    total = asked.agg(F.sum(F.length("text").cast("bigint"))).first()[0]
+    if not total:
+        return
+    blocks = -(-total // block_chars)
+    placed = checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(b, *fact) for b, text in zip(pdf["block"], pdf["text"], strict=True) for fact in item_facts(text)}
+            yield pd.DataFrame(sorted(rows), columns=["block", "kind", "fact", "by"])
+
+    told = placed.select("block", "text").mapInPandas(facts, "block int, kind string, fact string, by string")
+    shared = told.groupBy("kind", "fact").agg(F.min("by").alias("low"), F.max("by").alias("high")).where("low <> high").select("kind", "fact")
+    shared = checkpointed(told.select("block", "kind", "fact").distinct().join(shared, ["kind", "fact"]))
+    for block in range(blocks):
+        rows = placed.where(F.col("block") == block).select("item_id", "text").collect()
+        common = shared.where(F.col("block") == block).select("kind", "fact").collect()
+        rows.sort(key=lambda r: (r.item_id, r.text))
+        if rows:
+            yield [r.item_id for r in rows], [r.text for r in rows], {(r.kind, r.fact) for r in common}
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame, least_score: float = LEAST_SCORE, least_span: int = LEAST_SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Passages of test items in documents: ``doc_id, item_id, score, span, verbatim``, one row for each document and item.
 
     ``score`` is that of the best local alignment (2 for an equal word, -1 for a changed, lost or added one, formula
-    words count nothing), ``span`` its length in item words, ``verbatim`` the longest verbatim match in words. Only passages of
-    at least ``least_score`` and ``least_span`` are returned. The test set is a stated query set: it goes to the
-    executors in blocks of at most ``BLOCK_BYTES`` of text, each against all documents. Defined cases: null, empty
-    and wordless texts on either side have no passages; repeated documents or items give their distinct pairs; items
-    shorter than the least passage are never found; other columns are never read; empty tables give no rows.
+    words count nothing; words that differ by one letter count as equal), ``span`` its length in item words,
+    ``verbatim`` the longest run of the very same words, formulas aside. Only passages of at least ``least_score`` and
+    ``least_span`` are returned. The test set is a stated query set: it goes to the executors in blocks of about
+    ``block_chars`` characters, each against all documents, and the result doesn't depend on the blocks. Defined
+    cases: null, empty and wordless texts on either side have no passages; repeated documents or items give their
+    distinct pairs; items shorter than the least passage are never found; other columns are never read; empty tables
+    give no rows.
     """
     kinds = dict(documents.dtypes)["doc_id"], dict(eval_items.dtypes)["item_id"]
-    asked = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
-    blocks: list[tuple[list, list]] = []
-    size = 0
-    for row in asked.toLocalIterator():
-        if not blocks or size + len(row.text) > BLOCK_BYTES:
-            blocks.append(([], []))
-            size = 0
-        size += len(row.text)
-        blocks[-1][0].append(row.item_id)
-        blocks[-1][1].append(row.text)
+    item_type = to_arrow_type(eval_items.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, span int, verbatim int"
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
     spark = documents.sparkSession
     result = None
-    for ids, parts in blocks:
-        sent = spark.sparkContext.broadcast(Items(ids, parts))
+    for ids, parts, shared in blocks_of(eval_items, block_chars):
+        # Built-in types only: what a broadcast holds is read where this package isn't installed.
+        sent = spark.sparkContext.broadcast((ids, parts, shared))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
+            items = Items(*sent.value)
             known: dict[str, int] = {}
             for batch in batches:
                 names = batch.column(0).to_pylist()
                 rows = [r for r in shard_matches(batch.column(1).to_pylist(), items, known) if r[2] >= least_score and r[3] >= least_span]
                 yield pa.RecordBatch.from_pandas(
                     pd.DataFrame({"doc_id": [names[r[0]] for r in rows], "item_id": [items.ids[r[1]] for r in rows], "score": [r[2] for r in rows], "span": [r[3] for r in rows], "verbatim": [r[4] for r in rows]}),
-                    schema=pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.int64() if kinds[1] == "bigint" else pa.string()), ("score", pa.float64()), ("span", pa.int32()), ("verbatim", pa.int32())]),
+                    schema=pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", item_type), ("score", pa.float64()), ("span", pa.int32()), ("verbatim", pa.int32())]),
                 )
 
         part = texts.mapInArrow(search, schema)

@@ -87,6 +87,65 @@ def test_leaks(spark):
     assert leak.leaks(docs(spark, *texts), items.limit(0)).collect() == [] == leak.leaks(docs(spark).limit(0), items).collect()
 
 
+def test_blocks_and_shards_change_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    closing = "the house stands in recess until the bell has rung twice and then meets again to hear the report read."
+    items = [(i, " ".join(words(rng, 40)) + ". " + closing, "x") for i in range(2)]
+    items += [(10 + i, " ".join(words(rng, 60)), "x") for i in range(6)]
+    items = spark.createDataFrame(items, "item_id bigint, text string, doc_id string")
+    parts = [r.text.split() for r in items.collect()]
+    # A misspelling that could stand for words of two items is no word of either, whatever block they are in.
+    texts = [" ".join(words(rng, 30)) + " " + closing, *(" ".join(words(rng, 9) + p[5:33] + words(rng, 9)) for p in parts), *(" ".join(w[1:] if k % 5 == 0 else w for k, w in enumerate(p[:40])) for p in parts)]
+    table = docs(spark, *texts, *texts)
+    whole = sorted(map(tuple, leak.leaks(table, items).collect()))
+    assert {r[0] for r in whole} >= {1, 2, 3} and not any(r[0] == 0 for r in whole)
+    assert sorted(map(tuple, leak.leaks(table, items, block_chars=300).collect())) == whole
+    blocks = list(leak.blocks_of(items, 300))
+    assert len(blocks) > 2
+    block = leak.Items(*next(leak.blocks_of(items, 10**9)))
+    shards = leak.shard_matches(texts, block, {})
+    monkeypatch.setattr(leak, "PAIRS_AT_ONCE", 20)
+    assert sorted(leak.shard_matches(texts, block, {})) == sorted(shards) != []
+
+
+def test_verbatim_counts_the_very_words(spark):
+    rng = random.Random(12)
+    item = words(rng, 30)
+    typed = [w[:-1] if k == 12 else w for k, w in enumerate(item)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    got = leak.leaks(docs(spark, " ".join(typed)), items).first()
+    assert (got.score, got.span, got.verbatim) == (60.0, 30, 17)
+
+
+def test_asides_have_a_border():
+    inside, outside = "[" + "a" * 60 + "]", "[" + "a" * 61 + "]"
+    assert leak.words_of(f"one {inside} two") == ["one", "two"]
+    assert leak.words_of(f"one {outside} two") == ["one", "a" * 61, "two"]
+
+
+def test_workers_need_no_package(tmp_path):
+    """Driver with the package on its path alone, workers started elsewhere without it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from mnemora.llm import leak, quality
+text = " ".join("alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor".split())
+docs, items = spark.createDataFrame([(1, "so " + text)], "doc_id bigint, text string"), spark.createDataFrame([(5, text)], "item_id bigint, text string")
+assert [tuple(r)[:2] for r in leak.leaks(docs, items).collect()] == [(1, 5)]
+assert quality.outlierness(docs).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 NOUNS = "committee market bridge school harbour library report tariff hospital budget forest pension".split()
 PROSE = ["the {0} of the {1} should not {2} this {0} and we must have a {1} in our {2}", "I think that every {0} will be a {1} for the {2}, but they would not say so", "it is no secret that the {1} was in the {0} with an old {2} before we came"]
 
