@@ -129,7 +129,7 @@ def test_null_keeps_degrees_and_tail_is_exact():
     f, n, s, m = np.array([1, 3, 7]), np.array([10, 5, 2]), np.array([2, 4]), np.array([14, 3])
     s = np.array([2, 4])
     m = np.array([(f * n).sum() // 2 - 4, 2])
-    p = cooccur.fit_null(f, n, s, m)
+    p = cooccur.membership(*cooccur.fit_null(f, n, s, m))
     total = (f * n).sum()
     assert (p * m).sum(axis=1) == pytest.approx(f * (s * m).sum() / total, rel=0.05)
     q, trials = np.array([0.2, 0.05]), np.array([4, 6])
@@ -158,6 +158,30 @@ def test_tail_is_whole_at_any_mean():
         assert cooccur.poisson_binomial_tail(p, n, int(mean + mean**0.5) + 1) == pytest.approx(0.1587, abs=0.005)
 
 
+def test_huge_baskets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "BLOCK_KEYS", 3)
+    data = [("read", 1, s, f"k{i}") for s, step in (("a", 1), ("b", 2), ("c", 5)) for i in range(0, 20, step)]
+    got = {(r.key_a, r.key_b): r.n_ab for r in cooccur.pair_counts(baskets(spark, data), {"read": 1}).collect()}
+    want = {}
+    for step in (1, 2, 5):
+        for pair in itertools.combinations(sorted(f"k{i}" for i in range(0, 20, step)), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert got == want
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(8)
+    rows = [("read", int(g), int(i), float(np.round(rng.random() ** 3, 2)), int(rng.integers(1, 5))) for g in (1, 2) for i in range(80)]
+    tails = spark.createDataFrame(rows, "basket string, graph_id bigint, n_ab bigint, p_value double, pairs bigint")
+    tests = spark.createDataFrame([("read", 1, 400.0), ("read", 2, 300.0)], "basket string, graph_id bigint, tests double")
+    got = {(r.graph_id, r.n_ab): r.q_value for r in cooccur.ranked_by_p(tails, tests, 7).collect()}
+    for g, n in ((1, 400.0), (2, 300.0)):
+        mine = [r for r in rows if r[1] == g]
+        at = {p: p * n / sum(r[4] for r in mine if r[3] <= p) for p in {r[3] for r in mine}}
+        for r in mine:
+            assert got[g, r[2]] == pytest.approx(min(1.0, min(v for p, v in at.items() if p >= r[3])))
+
+
 def test_surprise(spark):
     data = [("read", 1, str(i), k) for i in range(60) for k in (["x", "y"] if i < 8 else [f"z{i % 7}", f"w{i % 5}"])]
     got = {(r.key_a, r.key_b): r for r in cooccur.surprising_pairs(baskets(spark, data), {"read": 1}).collect()}
