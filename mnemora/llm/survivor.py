@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.runtime import canonical_name, checkpointed, instant
+from mnemora.runtime import broadcast_if_small, canonical_name, checkpointed, instant
 
 NODE = ["graph_id", "node_key"]
+#: Nodes that a source writes about before its rows are split over several join keys.
+SPLIT = 100_000
 
 
 def node_key(key: Column | str) -> Column:
@@ -75,37 +77,70 @@ def survivors(records: DataFrame) -> DataFrame:
     return groups.where("_low < _high").select(*NODE, (-F.col("c")).alias("confidence_rec"), (-F.col("a")).alias("aliases_rec"), (-F.col("e")).alias("episodes_rec"), (-F.col("u")).alias("updated_rec"))
 
 
-def true_values(records: DataFrame, rounds: int = 6, prior: float = 0.5, source: str = "episode") -> DataFrame:
+def _claims(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who speaks of which node (``graph_id, node, source, salt``) and what they list (``value`` besides), in 64-bit numbers.
+
+    Numbers are told apart inside a graph only. ``salt`` spreads the rows of a source of many nodes.
+    """
+    rows = prepared(records)
+    sources = F.when(F.size("episodes") > 0, F.col("episodes")).otherwise(F.array(F.lit("")))
+    said = rows.select("graph_id", F.xxhash64("node_key").alias("node"), F.explode(sources).alias("source"), "aliases").withColumn("source", F.xxhash64("source"))
+    says = said.select("graph_id", "node", "source").distinct()
+    listed = said.select("graph_id", "node", "source", F.explode("aliases").alias("value")).withColumn("value", F.xxhash64("value")).distinct()
+    per = broadcast_if_small(says.groupBy("graph_id", "source").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("splits")))
+    salted = lambda df: checkpointed(df.join(per, ["graph_id", "source"]).withColumn("salt", F.pmod("node", "splits").cast("int")))
+    return salted(says), salted(listed).drop("splits")
+
+
+def source_quality(says: DataFrame, withp: DataFrame, belief: DataFrame) -> DataFrame:
+    """``graph_id, source, splits, sensitivity, specificity`` from the probabilities of all values (``withp``: listed ones with theirs).
+
+    What a source leaves out is the node's total less what it lists, so no table of sources by values is made.
+    """
+    total = belief.groupBy("graph_id", "node").agg(F.sum("probability").alias("t"), F.count(F.lit(1)).alias("v"))
+    spoken = says.join(total, ["graph_id", "node"]).groupBy("graph_id", "source").agg(F.max("splits").alias("splits"), F.sum("t").alias("t1"), F.sum(F.col("v") - F.col("t")).alias("t0"))
+    named = withp.groupBy("graph_id", "source").agg(F.sum("probability").alias("s1"), F.sum(1 - F.col("probability")).alias("s0"))
+    j = spoken.join(named, ["graph_id", "source"], "left").na.fill(0.0, ["s1", "s0"])
+    return j.select("graph_id", "source", "splits", ((F.col("s1") + 2.0) / (F.col("t1") + 3.0)).alias("sensitivity"), ((F.greatest(F.col("t0") - F.col("s0"), F.lit(0.0)) + 3.0) / (F.col("t0") + 4.0)).alias("specificity"))
+
+
+def true_values(records: DataFrame, rounds: int = 10, prior: float = 0.5, tolerance: float = 0.01) -> DataFrame:
     """Probability that each alias of a node is true, from a latent two-sided quality model of the sources.
 
     A source that writes about a node claims each of the node's values: it lists it or leaves it out. Starting from
-    the share of sources that list a value, ``rounds`` rounds alternate between the posterior of every value and
-    smoothed sensitivities and specificities of all sources. Returns ``graph_id, node_key, value, sources, listed,
-    probability``; a value is retained where ``probability >= 0.5``. Claims are counted per source and node before any
-    join, so one hot source or node is many small rows, never one task's list. Records without episode ids form one
-    source of the graph; nodes without values give no rows; an empty table gives no rows.
+    the share of sources that list a value, rounds alternate between smoothed sensitivities and specificities of all
+    sources and the posterior of every value, until no probability moves by more than ``tolerance`` (or ``rounds`` are
+    over). Returns ``graph_id, node_key, value, sources, listed, probability``; a value is retained where
+    ``probability >= 0.5``. A value's log odds are the node's sum over all sources that speak of it, as if each left
+    the value out, corrected by those that list it; so the work follows what is listed, and one hot source or node is
+    many small rows, never one task's list. Records without episode ids form one source of the graph; nodes without
+    values give no rows; an empty table gives no rows.
     """
-    rows = prepared(records).select(*NODE, "aliases", F.explode(F.when(F.size("episodes") > 0, F.col("episodes")).otherwise(F.array(F.lit("")))).alias("source"))
-    says = rows.select(*NODE, "source").distinct()
-    listed = rows.select(*NODE, "source", F.explode("aliases").alias("value")).distinct()
-    values = listed.select(*NODE, "value").distinct()
-    claims = values.join(says, NODE).join(listed.withColumn("_l", F.lit(True)), [*NODE, "source", "value"], "left").select(*NODE, "value", "source", F.col("_l").isNotNull().alias("listed"))
-    claims = checkpointed(claims)
-    belief = claims.groupBy(*NODE, "value").agg((F.sum(F.col("listed").cast("double")) / F.count(F.lit(1))).alias("probability"))
+    says, listed = _claims(records)
+    speakers = says.groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("sources"))
+    belief = checkpointed(listed.groupBy("graph_id", "node", "value").agg(F.count(F.lit(1)).alias("listed")).join(speakers, ["graph_id", "node"]).withColumn("probability", F.col("listed") / F.col("sources")))
+    odds = F.lit(prior / (1 - prior))
     for _ in range(rounds):
-        t, o = F.col("probability"), F.col("listed").cast("double")
-        quality = claims.join(belief, [*NODE, "value"]).groupBy("graph_id", "source").agg(((F.sum(t * o) + 2.0) / (F.sum(t) + 3.0)).alias("sensitivity"), ((F.sum((1 - t) * (1 - o)) + 3.0) / (F.sum(1 - t) + 4.0)).alias("specificity"))
-        weight = F.when(F.col("listed"), F.log(F.col("sensitivity") / (1 - F.col("specificity")))).otherwise(F.log((1 - F.col("sensitivity")) / F.col("specificity")))
-        log_odds = F.sum(weight) + F.log(F.lit(prior / (1 - prior)))
-        belief = claims.join(quality, ["graph_id", "source"]).groupBy(*NODE, "value").agg((1 / (1 + F.exp(-log_odds))).alias("probability"))
-        belief = checkpointed(belief)
-    counts = claims.groupBy(*NODE, "value").agg(F.count(F.lit(1)).alias("sources"), F.count_if("listed").alias("listed"))
-    return counts.join(belief, [*NODE, "value"])
-
-
-def fused(records: DataFrame, rounds: int = 6) -> DataFrame:
+        withp = listed.join(belief.select("graph_id", "node", "value", "probability"), ["graph_id", "node", "value"])
+        sens, spec = F.col("sensitivity"), F.col("specificity")
+        quality = source_quality(says, withp, belief).select("graph_id", "source", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"), F.log((1 - sens) / spec).alias("without"), (F.log(sens / (1 - spec)) - F.log((1 - sens) / spec)).alias("gain"))
+        quality = checkpointed(quality)
+        join = ["graph_id", "source", "salt"]
+        base = says.join(quality, join).groupBy("graph_id", "node").agg(F.sum("without").alias("base"))
+        gains = withp.join(quality, join).groupBy("graph_id", "node", "value").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("listed"), F.max("probability").alias("was"))
+        after = gains.join(base, ["graph_id", "node"]).join(speakers, ["graph_id", "node"])
+        belief = checkpointed(after.withColumn("probability", 1 / (1 + F.exp(-(F.col("base") + F.col("gain") + F.log(odds))))).drop("base", "gain"))
+        if belief.where(F.abs(F.col("probability") - F.col("was")) > tolerance).isEmpty():
+            break
+    texts = prepared(records).select(*NODE, F.explode("aliases").alias("text")).distinct()
+    texts = texts.withColumns({"node": F.xxhash64("node_key"), "value": F.xxhash64("text")})
+    out = belief.join(texts, ["graph_id", "node", "value"])
+    return out.select(*NODE, F.col("text").alias("value"), "sources", "listed", "probability")
+
+
+def fused(records: DataFrame) -> DataFrame:
     """One surviving record per node: single values from the records named by ``survivors``, all values judged true of ``aliases``."""
-    kept = true_values(records, rounds).where("probability >= 0.5").groupBy(*NODE).agg(F.array_sort(F.collect_set("value")).alias("aliases"))
+    kept = true_values(records).where("probability >= 0.5").groupBy(*NODE).agg(F.array_sort(F.collect_set("value")).alias("aliases"))
     rows = prepared(records)
     best = survivors(records)
     single = rows.join(best, NODE).groupBy(*NODE).agg(

@@ -252,6 +252,33 @@ def test_true_values(spark):
     assert one.aliases == ["true0"]
 
 
+def test_true_values_against_the_whole_table(spark, monkeypatch):
+    """The sums over listed values give what the table of all sources by all values of a node gives."""
+    monkeypatch.setattr(survivor, "SPLIT", 3)
+    rng = np.random.default_rng(6)
+    rows = [{"id": i, "key": f"PERSON::p{rng.integers(6)}", "al": [f"v{k}" for k in rng.integers(0, 5, rng.integers(0, 4))], "ep": [f"s{k}" for k in rng.integers(0, 5, rng.integers(0, 3))]} for i in range(60)]
+    listed, says = set(), set()
+    for r in rows:
+        for s in set(r["ep"]) or {""}:
+            says.add((r["key"], s))
+            listed |= {(r["key"], s, v) for v in r["al"]}
+    values = {(n, v) for n, _, v in listed}
+    p = {(n, v): sum((n, s, v) in listed for m, s in says if m == n) / sum(m == n for m, _ in says) for n, v in values}
+    for _ in range(6):
+        sens, spec = {}, {}
+        for s in {s for _, s in says}:
+            mine = [(p[n, v], (n, s, v) in listed) for n, v in values if (n, s) in says]
+            sens[s] = (sum(t for t, o in mine if o) + 2) / (sum(t for t, _ in mine) + 3)
+            spec[s] = (sum(1 - t for t, o in mine if not o) + 3) / (sum(1 - t for t, _ in mine) + 4)
+        odds = {(n, v): sum(np.log(sens[s] / (1 - spec[s])) if (n, s, v) in listed else np.log((1 - sens[s]) / spec[s]) for m, s in says if m == n) for n, v in values}
+        p = {k: 1 / (1 + np.exp(-o)) for k, o in odds.items()}
+    got = {(r.node_key, r.value): r for r in survivor.true_values(records(spark, *rows), rounds=6, tolerance=0.0).collect()}
+    assert set(got) == values
+    for k, r in got.items():
+        assert r.probability == pytest.approx(p[k], abs=1e-9)
+        assert (r.listed, r.sources) == (sum((k[0], s, k[1]) in listed for m, s in says if m == k[0]), sum(m == k[0] for m, _ in says))
+
+
 def test_components_of_long_chains(spark):
     order = np.random.default_rng(3).permutation(60).tolist()
     chain = [(1, a, b) for a, b in itertools.pairwise(order)] + [(2, i, i + 1) for i in range(40)] + [(2, 100, 101)]
