@@ -21,6 +21,8 @@ AUTO_ABOVE, FLAG_FROM = 0.90, 0.70
 DEFAULT_CONFIDENCE = 0.85
 SESSION_MAX_CALLS, SESSION_MAX_MINUTES, DECAY_GATE_HOURS = 80, 30, 24
 HASH_DIMENSIONS = 256
+#: Property of a node that was made up for a relationship's end.
+PROVISIONAL = "provisional_from_relationship"
 SELF_PLACEHOLDERS = ("user", "the_user", "me", "myself")
 
 

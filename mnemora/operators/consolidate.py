@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from mnemora import config
 from mnemora.functions import decay as D
 from mnemora.functions import text as T
 from mnemora.operators.graph import superseded
-from mnemora.runtime import canonical_name, instant
+from mnemora.runtime import canonical_name, checkpointed, instant
 
 G = "graph_id"
 ENTITY = "array<struct<text string, type string, confidence string, properties map<string,string>, aliases array<string>, candidate_merge_key string>>"
@@ -35,18 +37,21 @@ def payload_entities(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 def payload_edges(payloads: DataFrame, entities: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Normalised edges, the endpoints made up for them, and rejects.
 
-    An end is looked up by exact text, canonical text, then in ``existing`` (``batch_id, canon, key``). With one end
-    unknown an OTHER node of at most half confidence is made up; with both unknown the edge is dropped.
+    An end is looked up by exact text, canonical text, then in ``existing`` (``canon, key`` per ``batch_id``, or per
+    ``graph_id`` where the payloads have it). With one end unknown an OTHER node of at most half confidence is made
+    up; with both unknown the edge is dropped.
     """
-    rows = payloads.select("batch_id", F.posexplode("payload.relationships").alias("seq", "r"))
+    scope = G if G in existing.columns else "batch_id"
+    own = ["batch_id"] if scope == "batch_id" else ["batch_id", G]
+    rows = payloads.select(*own, F.posexplode("payload.relationships").alias("seq", "r"))
     stability, cardinality = F.lower(F.btrim("r.stability")), F.lower(F.btrim("r.cardinality"))
     stability = F.when(stability.isin(*config.STABILITIES), stability).otherwise("stable")
-    rows = rows.select("batch_id", "seq", F.btrim(F.coalesce("r.source", F.lit(""))).alias("source"), F.btrim(F.coalesce("r.target", F.lit(""))).alias("target"), T.normal_relation("r.relation").alias("relation"), T.clamp01(F.col("r.confidence"), config.DEFAULT_CONFIDENCE).alias("confidence"), stability.alias("stability"), F.when(cardinality.isin(*config.CARDINALITIES), cardinality).otherwise("one_to_many").alias("cardinality"), F.when(stability.isin(*config.TTL_STABILITIES), F.col("r.ttl_days").try_cast("int")).alias("ttl_days"), F.coalesce("r.evidence", F.lit("")).alias("evidence"), F.coalesce("r.snippet", F.lit("")).alias("snippet"))
+    rows = rows.select(*own, "seq", F.btrim(F.coalesce("r.source", F.lit(""))).alias("source"), F.btrim(F.coalesce("r.target", F.lit(""))).alias("target"), T.normal_relation("r.relation").alias("relation"), T.clamp01(F.col("r.confidence"), config.DEFAULT_CONFIDENCE).alias("confidence"), stability.alias("stability"), F.when(cardinality.isin(*config.CARDINALITIES), cardinality).otherwise("one_to_many").alias("cardinality"), F.when(stability.isin(*config.TTL_STABILITIES), F.col("r.ttl_days").try_cast("int")).alias("ttl_days"), F.coalesce("r.evidence", F.lit("")).alias("evidence"), F.coalesce("r.snippet", F.lit("")).alias("snippet"), F.coalesce("r.properties", F.create_map().cast("map<string,string>")).alias("properties"))
     by_text = entities.groupBy("batch_id", "text").agg(F.max_by("key", "seq").alias("key"))
     by_canon = entities.groupBy("batch_id", canonical_name("text").alias("canon")).agg(F.max_by("key", "seq").alias("key"))
     for end in ("source", "target"):
         rows = rows.join(by_text.select("batch_id", F.col("text").alias(end), F.col("key").alias("k1")), ["batch_id", end], "left")
-        rows = rows.withColumn("canon", canonical_name(end)).join(by_canon.select("batch_id", "canon", F.col("key").alias("k2")), ["batch_id", "canon"], "left").join(existing.select("batch_id", "canon", F.col("key").alias("k3")), ["batch_id", "canon"], "left")
+        rows = rows.withColumn("canon", canonical_name(end)).join(by_canon.select("batch_id", "canon", F.col("key").alias("k2")), ["batch_id", "canon"], "left").join(existing.select(scope, "canon", F.col("key").alias("k3")), [scope, "canon"], "left")
         rows = rows.withColumn(f"{end}_key", F.coalesce("k1", "k2", "k3")).drop("k1", "k2", "k3", "canon")
     unknown = F.col("source_key").isNull(), F.col("target_key").isNull()
     made = [F.when(unknown[i] & ~unknown[1 - i] & (F.col(e) != ""), T.node_key(F.lit("OTHER"), e)) for i, e in enumerate(("source", "target"))]
@@ -55,12 +60,39 @@ def payload_edges(payloads: DataFrame, entities: DataFrame, existing: DataFrame)
     reason = F.when(F.col("source_key").isNull() | F.col("target_key").isNull(), "unknown endpoint").when(F.col("source_key") == F.col("target_key"), "self loop").when(~T.is_relation("relation"), "bad relation")
     rows = rows.withColumn("reason", F.coalesce(reason, F.when(F.col("relation").isNull(), "bad relation")))
     good = rows.where("reason is null")
-    ends = good.select("batch_id", "seq", "confidence", F.explode(F.array(F.struct(F.col("made_source").alias("key"), F.col("source").alias("text")), F.struct(F.col("made_target").alias("key"), F.col("target").alias("text")))).alias("m")).where("m.key is not null")
-    made_up = ends.groupBy("batch_id", "m.key").agg(F.min_by("m.text", "seq").alias("text"), F.lit(min(config.DEFAULT_CONFIDENCE, 0.5)).alias("confidence"))
+    ends = rows.where("made_source is not null or made_target is not null").select(*own, "seq", F.explode(F.array(F.struct(F.col("made_source").alias("key"), F.col("source").alias("text")), F.struct(F.col("made_target").alias("key"), F.col("target").alias("text")))).alias("m")).where("m.key is not null")
+    made_up = ends.groupBy(*own, "m.key").agg(F.min_by("m.text", "seq").alias("text"), F.lit(min(config.DEFAULT_CONFIDENCE, 0.5)).alias("confidence"))
+    made_up = made_up.withColumn("properties", F.create_map(F.lit(config.PROVISIONAL), F.lit("true")))
     edges = good.drop("reason", "made_source", "made_target", "source", "target").withColumn("key", T.edge_key("source_key", "relation", "target_key"))
     return edges, made_up, rows.where("reason is not null").select("batch_id", "seq", "source", "relation", "target", "reason")
 
 
+def payload_warnings(payloads: DataFrame, bad_entities: DataFrame, bad_edges: DataFrame, made: DataFrame) -> DataFrame:
+    """``batch_id, warning``: what normalising dropped, coerced or made up."""
+    rels = payloads.select("batch_id", F.explode("payload.relationships").alias("r"))
+    coerced = []
+    for field, known, used in (("stability", config.STABILITIES, "stable"), ("cardinality", config.CARDINALITIES, "one_to_many")):
+        value = F.lower(F.btrim(f"r.{field}"))
+        coerced.append(rels.where(value.isNotNull() & (value != "") & ~value.isin(*known)).select("batch_id", F.concat(F.lit(f"unknown {field} "), f"r.{field}", F.lit(f" became {used}")).alias("warning")))
+    said = F.nullif(F.btrim(F.coalesce("payload.episode.summary", F.lit(""))), F.lit(""))
+    out = [
+        bad_entities.select("batch_id", F.concat(F.lit("entity dropped: "), "reason").alias("warning")),
+        bad_edges.select("batch_id", F.concat(F.lit("relationship "), "source", F.lit(" "), F.coalesce("relation", F.lit("")), F.lit(" "), "target", F.lit(" dropped: "), "reason").alias("warning")),
+        made.select("batch_id", F.concat(F.lit("made up "), "key", F.lit(" for a relationship")).alias("warning")),
+        payloads.where(F.col("payload").isNull()).select("batch_id", F.lit("reply isn't usable JSON").alias("warning")),
+        payloads.where(said.isNull()).select("batch_id", F.lit("episode without summary").alias("warning")),
+        *coerced,
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def known_forms(nodes: DataFrame) -> DataFrame:
+    """``graph_id, canon, key``: the node that a canonical name or alias stands for; of several the last one written."""
+    order = F.struct(F.coalesce(instant("created_at"), F.timestamp_seconds(F.lit(0))).alias("at"), F.col("id").alias("i"))
+    forms = F.array_union(F.array(canonical_name("name")), F.transform(F.array_compact(F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: canonical_name(a)))
+    return nodes.select(G, "key", order.alias("o"), F.explode(forms).alias("canon")).groupBy(G, "canon").agg(F.max_by("key", "o").alias("key"))
+
+
 def payload_episodes(payloads: DataFrame) -> DataFrame:
     """``batch_id, summary, importance, tags``: without a summary a stand-in of importance 0.1; importance defaults to 0.3."""
     summary = F.nullif(F.btrim(F.coalesce("payload.episode.summary", F.lit(""))), F.lit(""))
@@ -93,27 +125,56 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(G, "key").distinct().join(ends, [G, "key"], "left_anti")
 
 
-def supersession_candidates(new_edges: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, old_id, old_key, new_key, new_relation``: stored edges that a new one may replace, each pair of old edge and new relation once.
+def supersession_candidates(new_edges: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``graph_id, old_id, old_key, new_key, new_relation, seq``: stored edges that a new one may replace, each pair of old edge and new relation once.
 
     Same source, and the same target under another relation, or the same relation to another target if either is
-    one-to-one. Two equi-joins, so no source's edges meet all others.
+    one-to-one. Two equi-joins, so no source's edges meet all others. With ``known`` (``graph_id, key`` of stored and
+    staged nodes) only new edges between known nodes take part.
     """
     old = edges.where(~superseded(F.col("properties"))).select(G, F.col("id").alias("old_id"), F.col("key").alias("old_key"), "source_key", F.col("relation").alias("old_relation"), F.col("target_key").alias("old_target"), F.col("cardinality").alias("old_cardinality"))
+    if known is not None:
+        for end in ("source_key", "target_key"):
+            new_edges = new_edges.join(known.select(G, F.col("key").alias(end)).distinct(), [G, end], "left_semi")
     new = new_edges.select(G, "seq", F.col("key").alias("new_key"), "source_key", F.col("relation").alias("new_relation"), F.col("target_key").alias("new_target"), F.col("cardinality").alias("new_cardinality"))
     columns = [G, "seq", "old_id", "old_key", "new_key", "new_relation"]
     same_target = new.join(old.withColumn("new_target", F.col("old_target")), [G, "source_key", "new_target"]).where("new_relation <> old_relation").select(*columns)
     same_relation = new.join(old.withColumn("new_relation", F.col("old_relation")), [G, "source_key", "new_relation"]).where("new_target <> old_target and 'one_to_one' in (old_cardinality, new_cardinality)").select(*columns)
-    first = same_target.unionByName(same_relation).groupBy(G, "old_id", "old_key", "new_relation").agg(F.min_by("new_key", F.struct("seq", "new_key")).alias("new_key"))
-    return first.select(G, "old_id", "old_key", "new_key", "new_relation")
+    first = same_target.unionByName(same_relation).groupBy(G, "old_id", "old_key", "new_relation").agg(F.min(F.struct("seq", "new_key")).alias("m"))
+    return first.select(G, "old_id", "old_key", F.col("m.new_key").alias("new_key"), "new_relation", F.col("m.seq").alias("seq"))
+
 
+def replacing(decided: DataFrame) -> DataFrame:
+    """Decisions that act: ``supersedes`` and ``contradicts``; without a ``decision`` column every row supersedes."""
+    if "decision" not in decided.columns:
+        decided = decided.withColumn("decision", F.lit("supersedes"))
+    if "reason" not in decided.columns:
+        decided = decided.withColumn("reason", F.lit(""))
+    return decided.where(F.col("decision").isin("supersedes", "contradicts"))
 
-def apply_supersessions(edges: DataFrame, decided: DataFrame) -> DataFrame:
-    """Demotes decided edges (``graph_id, old_id, new_key``) to strength 1 and tags them; nothing is deleted."""
-    last = decided.groupBy(G, "old_id").agg(F.max("new_key").alias("by")).withColumnRenamed("old_id", "id")
+
+def apply_supersessions(edges: DataFrame, decided: DataFrame, now: str | None = None) -> DataFrame:
+    """Demotes decided edges (``graph_id, old_id, new_relation``) to strength 1 and tags them with the new relation.
+
+    Of several decisions on one edge the last in ``seq`` tags it. Nothing is deleted. ``now`` becomes ``updated_at``;
+    without it times stay as they were.
+    """
+    order = F.struct("seq", "new_relation") if "seq" in decided.columns else F.col("new_relation")
+    last = replacing(decided).groupBy(G, "old_id").agg(F.max_by("new_relation", order).alias("by")).withColumnRenamed("old_id", "id")
     out = edges.join(last, [G, "id"], "left")
-    tag = F.map_concat(F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: k != "superseded_by"), F.create_map(F.lit("superseded_by"), "by"))
-    return out.withColumns({"strength": F.when(F.col("by").isNotNull(), config.DEMOTED_STRENGTH).otherwise(F.col("strength")), "properties": F.when(F.col("by").isNotNull(), tag).otherwise(F.col("properties"))}).drop("by")
+    hit = F.col("by").isNotNull()
+    tag = _merged(F.col("properties"), F.create_map(F.lit("superseded_by"), "by"))
+    changed = {"strength": F.when(hit, config.DEMOTED_STRENGTH).otherwise(F.col("strength")), "properties": F.when(hit, tag).otherwise(F.col("properties"))}
+    return out.withColumns(changed | _stamped(hit, now)).drop("by")
+
+
+def contradictions(decided: DataFrame) -> DataFrame:
+    """``graph_id, edge, superseded_by, reason`` of decisions to be looked at."""
+    return replacing(decided).where("decision = 'contradicts'").select(G, F.col("old_key").alias("edge"), F.col("new_relation").alias("superseded_by"), "reason")
+
+
+def _stamped(hit: Column, now: str | None) -> dict[str, Column]:
+    return {} if now is None else {"updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))}
 
 
 def _union(*arrays: Column) -> Column:
@@ -121,70 +182,167 @@ def _union(*arrays: Column) -> Column:
 
 
 def _merged(old: Column, new: Column) -> Column:
+    """Two property maps as one, new values win."""
     empty = F.create_map().cast("map<string,string>")
     old, new = F.coalesce(old, empty), F.coalesce(new, empty)
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
+def _in_order(rows: DataFrame, value: str, order: Column) -> DataFrame:
+    """``graph_id, key`` with the distinct values of a key as a list, in the order of their first mention.
+
+    Values are made distinct before they meet, so a key mentioned by any number of rows holds its own values only.
+    """
+    first = rows.groupBy(G, "key", value).agg(F.min(order).alias("o"))
+    return first.groupBy(G, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias(value))
+
+
 def staged_nodes(staged: DataFrame) -> DataFrame:
-    """Staged entities folded per final key in ``seq`` order: first name and kind, united aliases and episodes, greatest confidence."""
-    rows = staged.groupBy(G, "key").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "kind", "aliases", "confidence", "source_episode_ids"))).alias("r"))
+    """Staged entities folded per final key in ``seq`` order.
+
+    ``name, kind`` of the first mention, greatest ``confidence``, ``mentions``, united ``source_episode_ids`` and
+    ``properties`` (later values win); ``mentioned`` has all aliases with every mention's name behind its own,
+    ``aliases`` the same without the first mention's name, which is the node's.
+    """
+    base = staged.groupBy(G, "key").agg(F.min_by(F.struct("name", "kind"), "seq").alias("f"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("mentions"), F.min("seq").alias("first"))
+    forms = staged.select(G, "key", "seq", F.posexplode(F.array_compact(F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "form")).withColumn("own", F.lit(False))
+    forms = forms.unionByName(staged.select(G, "key", "seq", F.lit(1 << 30).alias("pos"), F.col("name").alias("form"), F.lit(True).alias("own"))).where("form <> ''")
+    later = forms.join(base.select(G, "key", "first"), [G, "key"]).where("not (own and seq = first)")
+    order = F.struct("seq", "pos")
+    out = base.join(_in_order(later, "form", order).withColumnRenamed("form", "aliases"), [G, "key"], "left").join(_in_order(forms, "form", order).withColumnRenamed("form", "mentioned"), [G, "key"], "left")
+    episodes = staged.select(G, "key", "seq", F.posexplode(F.array_compact("source_episode_ids")).alias("pos", "source_episode_ids"))
+    out = out.join(_in_order(episodes, "source_episode_ids", order), [G, "key"], "left")
+    if "properties" in staged.columns:
+        said = staged.select(G, "key", "seq", F.explode("properties").alias("k", "v")).groupBy(G, "key", "k").agg(F.max_by("v", "seq").alias("v"))
+        out = out.join(said.groupBy(G, "key").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("properties")), [G, "key"], "left")
+    else:
+        out = out.withColumn("properties", F.lit(None).cast("map<string,string>"))
     empty = F.array().cast("array<string>")
-    every = lambda name: F.flatten(F.transform("r", lambda x: F.coalesce(x[name], empty)))
-    # The first row's name is the node's; later names join the aliases.
-    names = F.transform(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), lambda x: x["name"])
-    return rows.select(G, "key", F.col("r")[0]["name"].alias("name"), F.col("r")[0]["kind"].alias("kind"), _union(every("aliases"), names).alias("aliases"), F.aggregate("r", F.lit(0.0), lambda s, x: F.greatest(s, x["confidence"])).alias("confidence"), _union(every("source_episode_ids")).alias("source_episode_ids"))
-
-
-def upsert_nodes(nodes: DataFrame, staged: DataFrame) -> DataFrame:
-    """Nodes after merging staged ones: new keys are added, known ones gain aliases (the staged name among them) and
-    episodes and keep the greater confidence. ``outcome`` is created, merged or kept."""
-    new = staged_nodes(staged).select(G, "key", *[F.col(c).alias(f"n_{c}") for c in ("name", "kind", "aliases", "confidence", "source_episode_ids")], F.lit(True).alias("_n"))
-    old = nodes.select(G, "key", "name", "kind", "aliases", "confidence", "source_episode_ids", F.lit(True).alias("_o"))
-    j = old.join(new, [G, "key"], "full_outer")
-    both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
-    extra = F.filter(F.array("n_name"), lambda x: x != F.col("name"))
-    return j.select(
-        G,
-        "key",
-        F.coalesce("name", "n_name").alias("name"),
-        F.coalesce("kind", "n_kind").alias("kind"),
-        F.when(both, _union(F.col("aliases"), F.col("n_aliases"), extra)).otherwise(F.coalesce("aliases", "n_aliases", F.array().cast("array<string>"))).alias("aliases"),
-        F.greatest("confidence", "n_confidence").alias("confidence"),
-        F.when(both, _union(F.col("source_episode_ids"), F.col("n_source_episode_ids"))).otherwise(F.coalesce("source_episode_ids", "n_source_episode_ids")).alias("source_episode_ids"),
-        F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "kept").otherwise("merged").alias("outcome"),
-    )
+    lists = {c: F.coalesce(c, empty) for c in ("aliases", "mentioned", "source_episode_ids")}
+    return out.withColumns(lists | {"name": F.col("f.name"), "kind": F.col("f.kind"), "properties": F.coalesce("properties", F.create_map().cast("map<string,string>"))}).drop("f", "first")
 
 
-def upsert_edges(edges: DataFrame, staged: DataFrame) -> DataFrame:
-    """Edges (one per key) after merging staged ones in ``seq`` order.
+def upsert_nodes(nodes: DataFrame, staged: DataFrame, now: str | None = None) -> DataFrame:
+    """Nodes (one per key) after merging staged ones, with ``outcome`` (created, merged or kept) and ``mentions``.
+
+    New keys are added; known ones gain aliases (every mention's name among them), episodes and properties (new
+    values win) and keep the greater confidence. ``now`` becomes ``updated_at`` of what changed and ``created_at`` of
+    what is new.
+    """
+    fields = ("name", "kind", "aliases", "mentioned", "confidence", "source_episode_ids", "properties", "mentions")
+    new = staged_nodes(staged).select(G, "key", *[F.col(c).alias(f"n_{c}") for c in fields], F.lit(True).alias("_n"))
+    j = nodes.withColumn("_o", F.lit(True)).join(new, [G, "key"], "full_outer")
+    both, created = F.col("_o").isNotNull() & F.col("_n").isNotNull(), F.col("_o").isNull()
+    changed = {
+        "name": F.coalesce("name", "n_name"),
+        "kind": F.coalesce("kind", "n_kind"),
+        "aliases": F.when(both, _union(F.col("aliases"), F.col("n_mentioned"))).otherwise(F.coalesce("aliases", "n_aliases", F.array().cast("array<string>"))),
+        "confidence": F.greatest("confidence", "n_confidence"),
+        "source_episode_ids": F.when(both, _union(F.col("source_episode_ids"), F.col("n_source_episode_ids"))).otherwise(F.coalesce("source_episode_ids", "n_source_episode_ids")),
+        "outcome": F.when(created, "created").when(F.col("_n").isNull(), "kept").otherwise("merged"),
+        "mentions": F.coalesce("n_mentions", F.lit(0)),
+    }
+    if "properties" in nodes.columns:
+        changed["properties"] = F.when(both, _merged(F.col("properties"), F.col("n_properties"))).otherwise(F.coalesce("properties", "n_properties"))
+    return j.withColumns(changed | _new_row(nodes, created, F.col("_n").isNotNull(), now)).select(*nodes.columns, "outcome", "mentions")
+
+
+def _new_row(table: DataFrame, created: Column, hit: Column, now: str | None) -> dict[str, Column]:
+    """Identity and times of upserted rows."""
+    out = {"id": F.coalesce("id", F.sha2(F.concat_ws("|", F.col(G).cast("string"), "key"), 256))} if "id" in table.columns else {}
+    if now is not None:
+        out |= {c: F.when(h, F.lit(now)).otherwise(F.col(c)) for c, h in (("created_at", created), ("updated_at", hit)) if c in table.columns}
+    return out
+
+
+def bound_episodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with the episodes of written edges (``source_key, target_key, seq, source_episode_ids``) added at both ends."""
+    ends = edges.select(G, "seq", F.explode(F.array("source_key", "target_key")).alias("key"), "source_episode_ids")
+    told = _in_order(ends.select(G, "key", "seq", F.posexplode(F.array_compact("source_episode_ids")).alias("pos", "told")), "told", F.struct("seq", "pos"))
+    out = nodes.join(told, [G, "key"], "left")
+    return out.withColumn("source_episode_ids", F.when(F.col("told").isNull(), F.col("source_episode_ids")).otherwise(_union(F.col("source_episode_ids"), F.col("told")))).drop("told")
+
+
+def usable_edges(staged: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged edges that can be written, and those dropped with a ``reason``: ends that became one node, or an end that is none of ``nodes``."""
+    rows = staged.withColumn("reason", F.when(F.col("source_key") == F.col("target_key"), "ends merged to the same node"))
+    if nodes is not None:
+        for end in ("source_key", "target_key"):
+            rows = rows.join(nodes.select(G, F.col("key").alias(end), F.lit(True).alias("_k")).distinct(), [G, end], "left")
+            rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_k").isNull(), "missing endpoint"))).drop("_k")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def upsert_edges(edges: DataFrame, staged: DataFrame, now: str | None = None) -> DataFrame:
+    """Edges (one per key) after merging staged ones in ``seq`` order, with ``outcome`` and ``mentions``.
 
     A new key starts at full strength whatever was staged; each further mention reinforces; snippet, evidence and
-    confidence are taken over only from mentions of strictly greater confidence. Edges whose ends became one are left out.
+    confidence are taken over only from mentions of strictly greater confidence; episodes are united. Edges whose ends
+    became one are left out.
     """
-    usable = staged.where("source_key <> target_key")
-    first = usable.groupBy(G, "key").agg(F.min_by(F.struct("source_key", "relation", "target_key", "confidence", "snippet"), "seq").alias("f"), F.min_by(F.struct("confidence", "snippet"), F.struct(-F.col("confidence"), "seq")).alias("b"), F.count(F.lit(1)).alias("mentions"))
-    j = edges.select(G, "key", "source_key", "relation", "target_key", "strength", "confidence", "snippet", F.lit(True).alias("_o")).join(first, [G, "key"], "full_outer")
-    better = F.coalesce(F.col("b.confidence") > F.col("confidence"), F.lit(False))
+    usable, _ = usable_edges(staged)
+    once = ("source_key", "relation", "target_key", "stability", "ttl_days", "cardinality", "properties")
+    told = ("confidence", "snippet", "evidence")
+    first = usable.groupBy(G, "key").agg(F.min_by(F.struct(*once), "seq").alias("f"), F.min_by(F.struct(*told), F.struct(-F.col("confidence"), "seq")).alias("b"), F.count(F.lit(1)).alias("mentions"))
+    episodes = usable.select(G, "key", "seq", F.posexplode(F.array_compact("source_episode_ids")).alias("pos", "told"))
+    first = first.join(_in_order(episodes, "told", F.struct("seq", "pos")), [G, "key"], "left")
+    j = edges.withColumn("_o", F.lit(True)).join(first, [G, "key"], "full_outer")
     created = F.col("_o").isNull()
-    return j.select(
-        G,
-        "key",
-        F.coalesce("source_key", "f.source_key").alias("source_key"),
-        F.coalesce("relation", "f.relation").alias("relation"),
-        F.coalesce("target_key", "f.target_key").alias("target_key"),
-        F.when(created, config.INITIAL_STRENGTH).otherwise(D.reinforced(F.col("strength"), F.coalesce("mentions", F.lit(0)))).alias("strength"),
-        F.when(created | better, F.col("b.confidence")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(created | better, F.col("b.snippet")).otherwise(F.col("snippet")).alias("snippet"),
-        F.when(created, "created").when(F.col("f").isNull(), "kept").otherwise("reinforced").alias("outcome"),
-    )
+    better = created | F.coalesce(F.col("b.confidence") > F.col("confidence"), F.lit(False))
+    changed = {c: F.when(created, F.col(f"f.{c}")).otherwise(F.col(c)) for c in once} | {c: F.when(better, F.col(f"b.{c}")).otherwise(F.col(c)) for c in told}
+    changed |= {
+        "mentions": F.coalesce("mentions", F.lit(0)),
+        "strength": F.when(created, config.INITIAL_STRENGTH).otherwise(D.reinforced(F.col("strength"), F.coalesce("mentions", F.lit(0)))),
+        "source_episode_ids": F.when(F.col("told").isNull() & ~created, F.col("source_episode_ids")).otherwise(_union(F.col("source_episode_ids"), F.col("told"))),
+        "outcome": F.when(created, "created").when(F.col("f").isNull(), "kept").otherwise("reinforced"),
+    }
+    return j.withColumns(changed | _new_row(edges, created, F.col("f").isNotNull(), now)).select(*edges.columns, "outcome", "mentions")
+
 
+def reinforce(edges: DataFrame, log: DataFrame, now: str | None = None) -> DataFrame:
+    """Edges after a log of traversals (``graph_id, edge``): the closed form of one capped boost per logged row.
 
-def reinforce(edges: DataFrame, log: DataFrame) -> DataFrame:
-    """Edges after a log of traversals (``graph_id, edge``): the closed form of one capped boost per logged row."""
+    ``now`` becomes ``updated_at`` of reinforced edges, where their next decay starts; without it times stay.
+    """
     times = log.groupBy(G, F.col("edge").alias("key")).agg(F.count(F.lit(1)).alias("_times"))
     out = edges.join(times, [G, "key"], "left")
-    return out.withColumn("strength", F.when(F.col("_times").isNotNull(), D.reinforced(F.col("strength"), F.col("_times"))).otherwise(F.col("strength"))).drop("_times")
+    hit = F.col("_times").isNotNull()
+    return out.withColumns({"strength": F.when(hit, D.reinforced(F.col("strength"), F.col("_times"))).otherwise(F.col("strength"))} | _stamped(hit, now)).drop("_times")
+
+
+def apply_write(nodes: DataFrame, edges: DataFrame, staged: DataFrame, staged_edges: DataFrame, decided: DataFrame, log: DataFrame, now: str) -> dict[str, DataFrame]:
+    """One deterministic write: nodes, edges, supersessions, orphan warnings, read reinforcement, in this order.
+
+    ``nodes`` and ``edges`` have one row per key; ``staged`` and ``staged_edges`` carry final keys and ``seq``.
+    Returns the new ``nodes`` and ``edges``, ``counters`` per graph, ``flagged`` and ``warnings`` (``graph_id, warning``).
+    """
+    up_nodes = checkpointed(upsert_nodes(nodes, staged, now))
+    good, dropped = usable_edges(staged_edges, up_nodes)
+    good = checkpointed(good)
+    out_nodes = bound_episodes(up_nodes.drop("outcome", "mentions"), good)
+    up_edges = checkpointed(upsert_edges(edges, good, now))
+    acting = checkpointed(replacing(decided))
+    stored = apply_supersessions(up_edges.drop("outcome", "mentions"), acting, now)
+    alone = orphans(up_nodes.where("outcome <> 'kept'"), up_edges)
+    said = lambda df, *parts: df.select(G, F.concat(*parts).alias("warning"))
+    warnings = said(dropped, F.lit("edge "), "key", F.lit(" dropped: "), "reason").unionByName(said(alone, F.lit("orphan "), "key")).unionByName(said(acting, F.lit("edge "), "old_key", F.lit(" superseded by "), "new_relation"))
+    created, n = F.col("outcome") == "created", F.col("mentions")
+    count = lambda df, **sums: df.groupBy(G).agg(*[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
+    parts = [
+        count(up_nodes, nodes_created=created.cast("int"), nodes_merged=F.greatest(n - created.cast("int"), F.lit(0))),
+        count(up_edges, edges_created=created.cast("int"), edges_reinforced=F.greatest(n - created.cast("int"), F.lit(0))),
+        count(dropped, edges_dropped=F.lit(1)),
+        count(acting, edges_superseded=F.lit(1)),
+        count(log.join(up_edges.select(G, F.col("key").alias("edge")).distinct(), [G, "edge"], "left_semi"), reinforced_from_read=F.lit(1)),
+    ]
+    counters = reduce(lambda a, b: a.join(b, G, "full_outer"), parts).na.fill(0)
+    return {"nodes": out_nodes, "edges": reinforce(stored, log, now), "counters": counters, "flagged": contradictions(acting), "warnings": warnings}
+
+
+def sticky_self(meta: DataFrame, inferred: DataFrame) -> DataFrame:
+    """``graph_id, self_key``: the designated self of each graph, once known for good, else the inferred one."""
+    j = meta.select(G, F.col("self_key").alias("known")).join(inferred.select(G, "self_key"), G, "full_outer")
+    return j.select(G, F.coalesce("known", "self_key").alias("self_key"))
 
 
 def decay_edges(edges: DataFrame, now: str) -> DataFrame:
@@ -228,9 +386,22 @@ def first_edge_self(edges: DataFrame) -> DataFrame:
 
 
 def numbered_turns(turns: DataFrame, conversation: str = "conv_id", order: str = "pos") -> DataFrame:
+    """Turns with their number ``turn`` from 1 inside a conversation."""
     return turns.withColumn("turn", F.row_number().over(Window.partitionBy(conversation).orderBy(order)))
 
 
+def unwritten_turns(turns: DataFrame, written: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """Numbered turns beyond a conversation's high-water mark (``written``: ``conversation, done``)."""
+    marks = written.select(conversation, F.col("done").alias("_done"))
+    return turns.join(marks, conversation, "left").where(F.col("turn") > F.coalesce("_done", F.lit(0))).drop("_done")
+
+
+def spoken_turns(turns: DataFrame, role: str | None = None) -> DataFrame:
+    """Turns with text, of one role if asked for (extraction may read the user's turns alone)."""
+    said = turns.where(F.btrim(F.coalesce("text", F.lit(""))) != "")
+    return said if role is None else said.where(F.col("role") == role)
+
+
 def conversation_jsonl(turns: DataFrame, conversation: str, order: str, fields: list[str], part_chars: int = 1 << 20, unnamed: str = "(null)") -> DataFrame:
     """``conversation, part, jsonl``: each conversation's turns as JSON lines in order, nulls written out.
 

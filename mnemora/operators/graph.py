@@ -25,6 +25,12 @@ def one_per_id(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates([G, "id"])
 
 
+def first_per_key(edges: DataFrame) -> DataFrame:
+    """One row per graph and edge key: the first written (by instant, then id)."""
+    order = Window.partitionBy(G, "key").orderBy(F.coalesce(instant("created_at"), F.timestamp_seconds(F.lit(0))), "id")
+    return edges.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def superseded(properties: Column) -> Column:
     return F.coalesce(F.element_at(properties, "superseded_by"), F.lit("")) != ""
 
@@ -129,18 +135,22 @@ def memory_lines(selected: DataFrame, edges: DataFrame, nodes: DataFrame) -> Dat
     return first.select("ask", G, "line", F.row_number().over(Window.partitionBy("ask", G).orderBy("o")).alias("ord"))
 
 
-def snippets(selected: DataFrame, edges: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """``ask, graph_id, key, edge_id, snippet, ord``: the strongest snippets around hot nodes, equal texts once per question.
-
-    Order: strength, outgoing before incoming, then instant and id.
-    """
+def _top_snippets(selected: DataFrame, edges: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    """``ask, graph_id, key, rank, n, id, snippet``: the strongest snippets around each hot node."""
     hot = selected.where(F.col("score") >= cfg.secondary_threshold).select("ask", G, "key", "rank")
     said = edges.where(~superseded(F.col("properties")) & (F.coalesce("snippet", F.lit("")) != ""))
     at = F.coalesce(instant("created_at"), F.timestamp_seconds(F.lit(0))).alias("at")
     ends = said.select(G, F.col("source_key").alias("key"), F.lit(0).alias("d"), "strength", at, "id", "snippet").unionByName(said.select(G, F.col("target_key").alias("key"), F.lit(1).alias("d"), "strength", at, "id", "snippet"))
     order = Window.partitionBy("ask", G, "key").orderBy(F.desc("strength"), "d", "at", "id")
-    top = hot.join(ends, [G, "key"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cfg.max_snippets)
-    first = top.groupBy("ask", G, "snippet").agg(F.min(F.struct("rank", "n", "key", "id")).alias("o"))
+    return hot.join(ends, [G, "key"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cfg.max_snippets)
+
+
+def snippets(selected: DataFrame, edges: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """``ask, graph_id, key, edge_id, snippet, ord``: the strongest snippets around hot nodes, equal texts once per question.
+
+    Order: strength, outgoing before incoming, then instant and id.
+    """
+    first = _top_snippets(selected, edges, cfg).groupBy("ask", G, "snippet").agg(F.min(F.struct("rank", "n", "key", "id")).alias("o"))
     return first.select("ask", G, F.col("o.key").alias("key"), F.col("o.id").alias("edge_id"), "snippet", F.row_number().over(Window.partitionBy("ask", G).orderBy("o")).alias("ord"))
 
 
@@ -156,6 +166,41 @@ def context_text(lines: DataFrame, snips: DataFrame) -> DataFrame:
     return out.select("ask", G, "memory_block", "context_block", F.concat_ws("\n\n", "memory_block", "context_block").alias("text"))
 
 
+def injections(selected: DataFrame, edges: DataFrame, nodes: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """``ask, graph_id, edge_key, source, relation, relation_phrase, target, snippet``: what a context injects, one row per edge key.
+
+    Edges between selected nodes, and those whose snippet is among a hot node's strongest (with the snippet, whether
+    or not another node said the same); superseded ones are hidden.
+    """
+    live = edges.where(~superseded(F.col("properties")))
+    src = selected.select("ask", G, F.col("key").alias("source_key"))
+    dst = selected.select("ask", G, F.col("key").alias("target_key"))
+    inner = live.join(src, [G, "source_key"]).join(dst, ["ask", G, "target_key"], "left_semi").select("ask", G, "key", "source_key", "relation", "target_key", F.lit(None).cast("string").alias("snippet"))
+    top = _top_snippets(selected, edges, cfg).select("ask", G, F.col("id"), F.col("snippet"))
+    told = top.join(live.select(G, "id", "key", "source_key", "relation", "target_key"), [G, "id"]).select("ask", G, "key", "source_key", "relation", "target_key", "snippet")
+    rows = inner.unionByName(told).groupBy("ask", G, "key").agg(F.min(F.struct("source_key", "relation", "target_key")).alias("e"), F.max("snippet").alias("snippet"))
+    names = nodes.select(G, "key", "name")
+    rows = rows.select("ask", G, F.col("key").alias("edge_key"), "e.*", "snippet")
+    rows = rows.join(names.select(G, F.col("key").alias("source_key"), F.col("name").alias("source")), [G, "source_key"]).join(names.select(G, F.col("key").alias("target_key"), F.col("name").alias("target")), [G, "target_key"])
+    return rows.select("ask", G, "edge_key", "source", "relation", F.replace(F.lower("relation"), F.lit("_"), F.lit(" ")).alias("relation_phrase"), "target", "snippet")
+
+
+def rendered(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``ask, graph_id, text``: the subgraph that ``members`` (``ask, graph_id, key``) span, as sorted lines.
+
+    A node's line has its key, name, aliases and properties (lists and maps as JSON), an edge's line both keys around
+    the relation; nodes come first.
+    """
+    own = members.select("ask", G, "key").distinct()
+    listed = F.when(F.size("aliases") > 0, F.concat(F.lit(", aliases="), F.to_json("aliases"))).otherwise("")
+    held = F.when(F.size("properties") > 0, F.concat(F.lit(", properties="), F.to_json("properties"))).otherwise("") if "properties" in nodes.columns else F.lit("")
+    node_line = F.concat(F.lit("- "), "key", F.lit(" (name="), F.coalesce("name", F.lit("")), F.coalesce(listed, F.lit("")), F.coalesce(held, F.lit("")), F.lit(")"))
+    lines = own.join(nodes, [G, "key"]).select("ask", G, F.lit(0).alias("part"), "key", node_line.alias("line"))
+    inner = induced_edges(own, edges).select("ask", G, F.lit(1).alias("part"), "key", F.concat(F.lit("  "), "source_key", F.lit(" -["), "relation", F.lit("]-> "), "target_key").alias("line")).distinct()
+    rows = lines.unionByName(inner).groupBy("ask", G).agg(F.array_sort(F.collect_list(F.struct("part", "key", "line"))).alias("r"))
+    return rows.select("ask", G, F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
+
+
 def event_trace(seeds: DataFrame, adj: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """``ask, graph_id, hop, edge_id, from_key, to_key, direction, contribution, running``: every crossing and the mass so far at its end."""
     steps = hops(seeds, adj, cfg)

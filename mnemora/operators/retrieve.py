@@ -83,7 +83,7 @@ def read_from_seeds(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: R
     active = checkpointed(Gr.co_episode_boost(checkpointed(Gr.spreading_activation(seeds, Gr.adjacency(edges), cfg)), nodes, cfg))
     chosen = checkpointed(Gr.select_within_budget(active, cfg))
     lines, snips = Gr.memory_lines(chosen, edges, nodes), Gr.snippets(chosen, edges, cfg)
-    return {"seeds": seeds, "activations": active, "selected": chosen, "lines": lines, "snippets": snips, "context": Gr.context_text(lines, snips)}
+    return {"seeds": seeds, "activations": active, "selected": chosen, "lines": lines, "snippets": snips, "context": Gr.context_text(lines, snips), "injections": Gr.injections(chosen, edges, nodes, cfg)}
 
 
 def traversed(activations: DataFrame, edges: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
