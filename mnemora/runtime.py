@@ -30,15 +30,20 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so its lineage ends there and survives lost executors.
 
     The cluster names the folder in ``spark.checkpoint.dir``; only a local session may leave it unset.
+    With ``free`` the driver collects its garbage afterwards, which lets Spark remove the shuffle files of the lineage
+    just cut; else they stay on the executors' disks until a collection happens by itself.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if free:
+        sc._jvm.System.gc()
+    return out
 
 
 def estimated_bytes(df: DataFrame) -> int:
