@@ -9,11 +9,13 @@ from mnemora import config
 from mnemora.config import RetrievalConfig
 from mnemora.functions import vectors as V
 from mnemora.functions.text import STOP_WORDS
+from mnemora.operators import agentic as A
 from mnemora.operators import consolidate as C
+from mnemora.operators import decide as De
 from mnemora.operators import graph as Gr
 from mnemora.operators import resolve as R
 from mnemora.operators import retrieve as Re
-from mnemora.plans.sqltext import NOW, RETRIEVAL, canon, inlist, sql, tokens
+from mnemora.plans.sqltext import CTES, NOW, RETRIEVAL, canon, inlist, sql, tokens
 from mnemora.runtime import checkpointed, instant, table
 
 #: Edges written from here on count as the new ones of write queries; the earlier ones as stored.
@@ -70,7 +72,8 @@ def staged_node_rows(s: SparkSession, d: str) -> DataFrame:
     rec = table(s, d, "node_records").where("name is not null and kind is not null").dropDuplicates(["rec_id"])
     conf = F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(F.lit(config.DEFAULT_CONFIDENCE))
     key = F.concat("kind", F.lit("::"), R.canonical_name("name"))
-    return rec.select("graph_id", key.alias("key"), F.col("rec_id").alias("seq"), "name", "kind", "aliases", conf.alias("confidence"), "source_episode_ids")
+    told = F.create_map(F.lit("rec"), F.col("rec_id").cast("string"), F.lit("kind"), F.col("kind"))
+    return rec.select("graph_id", key.alias("key"), F.col("rec_id").alias("seq"), "name", "kind", "aliases", conf.alias("confidence"), "source_episode_ids", told.alias("properties"))
 
 
 def _listed(df: DataFrame, *arrays: str) -> DataFrame:
@@ -99,19 +102,60 @@ def _retrieved(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def _supersession(s: SparkSession, d: str) -> DataFrame:
     old, new = split_edges(s, d)
-    return C.supersession_candidates(new, old)
+    return C.supersession_candidates(new, old).drop("seq")
 
 
 def _superseded_edges(s: SparkSession, d: str) -> DataFrame:
     old, new = split_edges(s, d)
-    decided = C.supersession_candidates(new, old).select("graph_id", "old_id", "new_key")
-    out = C.apply_supersessions(old, decided)
-    return out.select("graph_id", "id", "strength", F.element_at("properties", "superseded_by").alias("by"))
+    out = C.apply_supersessions(old, C.supersession_candidates(new, old), NOW)
+    return out.select("graph_id", "id", "strength", F.element_at("properties", "superseded_by").alias("by"), "updated_at")
 
 
 def _upserted_edges(s: SparkSession, d: str) -> DataFrame:
     old, new = split_edges(s, d)
-    return C.upsert_edges(old, new).select("graph_id", "key", "source_key", "relation", "target_key", F.round("strength", 6).alias("strength"), "confidence", "snippet", "outcome")
+    out = C.upsert_edges(old.drop("at"), new, NOW)
+    return _listed(out, "source_episode_ids").select("graph_id", "key", "source_key", "relation", "target_key", F.round("strength", 6).alias("strength"), "confidence", "snippet", "evidence", "source_episode_ids", "updated_at", "outcome", "mentions")
+
+
+def _upserted_nodes(s: SparkSession, d: str) -> DataFrame:
+    out = C.upsert_nodes(nodes(s, d), staged_node_rows(s, d), NOW)
+    held = F.array_join(F.array_sort(F.transform(F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "|")
+    return _listed(out, "aliases", "source_episode_ids").select("graph_id", "key", "name", "kind", "aliases", "confidence", "source_episode_ids", held.alias("properties"), "updated_at", "outcome", "mentions")
+
+
+def _written(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """One whole write: recorded nodes and new edges into the stored graph, every candidate replaced, recorded traversals applied."""
+    old, new = split_edges(s, d)
+    return C.apply_write(nodes(s, d), old.drop("at"), staged_node_rows(s, d), new.drop("at"), C.supersession_candidates(new, old), _traversals(s, d), NOW)
+
+
+def _hinted(s: SparkSession, d: str) -> DataFrame:
+    """Recorded entities with the key they were written under as the extractor's hint."""
+    n = nodes(s, d)
+    resolved = R.resolve(staged_entities(s, d), n, C.first_edge_self(edges(s, d)))
+    hints = table(s, d, "node_records").where("name is not null and kind is not null").select("graph_id", F.col("rec_id").alias("entity"), "kind", F.col("key").alias("hint")).distinct()
+    return _listed(De.hinted(resolved, hints, n).select("graph_id", "entity", "rule", "decision", "candidates"), "candidates")
+
+
+def _model_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Recorded confidences as a model's fenced reply about each kind of node of a graph; only stored keys were offered."""
+    rec = table(s, d, "node_records").where("key is not null and kind is not null").select("graph_id", "kind", "key", "confidence", "rec_id").distinct()
+    told = F.struct("key", F.col("confidence").cast("string").alias("confidence"), F.col("rec_id").cast("string").alias("reason"))
+    replies = rec.groupBy("graph_id", F.col("kind").alias("entity")).agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(told).alias("candidates"))), F.lit("\n```")).alias("reply"))
+    offered = nodes(s, d).groupBy("graph_id").agg(F.collect_set("key").alias("candidates"))
+    return De.parsed_candidates(replies.join(offered, "graph_id")).withColumn("confidence", F.round("confidence", 6))
+
+
+def _model_decisions(s: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("stability") == "mutable", "SUPERSEDES ").when(F.col("stability") == "time_bound", "contradicts").when(F.col("stability") == "stable", "perhaps").otherwise("coexist")
+    reply = F.when(F.col("stability") == "ephemeral", F.lit("no idea")).otherwise(F.concat(F.lit('{"decision": "'), said, F.lit('", "reason": "r",}')))
+    return De.parsed_decisions(edges(s, d).select("graph_id", "id", reply.alias("reply"))).select("graph_id", "id", "decision", "reason")
+
+
+def _relationship_ends(s: SparkSession, d: str) -> DataFrame:
+    """Calls that name a node by its recorded name and another by an alias, or by a name nobody has."""
+    rec = table(s, d, "node_records").where("name is not null").select("graph_id", "rec_id", F.col("name").alias("source"), F.coalesce(F.get(F.array_compact("aliases"), F.lit(0)), F.concat(F.lit("nobody "), F.col("rec_id").cast("string"))).alias("target")).distinct()
+    return A.relationship_ends(rec, nodes(s, d)).select("graph_id", "rec_id", "source", "target", "source_key", "target_key", "made_source", "made_target")
 
 
 def _traversals(s: SparkSession, d: str) -> DataFrame:
@@ -121,11 +165,15 @@ def _traversals(s: SparkSession, d: str) -> DataFrame:
     return edges(s, d).select("graph_id", "source_key", "target_key", "key").distinct().join(a, ["graph_id", "source_key"]).join(b, ["read_id", "graph_id", "target_key"]).select("graph_id", F.col("key").alias("edge"))
 
 
-def _first_last(s: SparkSession, d: str) -> DataFrame:
+def _deliveries_delta(s: SparkSession, d: str) -> DataFrame:
+    """Changes between every two deliveries of a graph that follow one another (differing rows of a key: the smallest counts)."""
     snaps = table(s, d, "node_snapshots")
-    ends = snaps.groupBy("graph_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
-    rows = snaps.join(ends, "graph_id").select("graph_id", "key", "name", "kind", "confidence", "snapshot_no", "lo", "hi").distinct()
-    return C.graph_delta(rows.where("snapshot_no = lo"), rows.where("snapshot_no = hi"), ["graph_id", "key"], ["name", "kind", "confidence"])
+    order = Window.partitionBy("graph_id").orderBy("snapshot_no")
+    pairs = snaps.select("graph_id", "snapshot_no").distinct().withColumn("to_no", F.lead("snapshot_no").over(order)).where("to_no is not null")
+    rows = snaps.groupBy("graph_id", "snapshot_no", "key").agg(F.min(F.struct("name", "kind", "confidence")).alias("m")).select("graph_id", "snapshot_no", "key", "m.*")
+    before = rows.join(pairs, ["graph_id", "snapshot_no"])
+    after = rows.join(pairs.select("graph_id", F.col("to_no").alias("snapshot_no")), ["graph_id", "snapshot_no"]).withColumn("to_no", F.col("snapshot_no"))
+    return C.graph_delta(before, after, ["graph_id", "to_no", "key"], ["name", "kind", "confidence"])
 
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
@@ -150,8 +198,8 @@ QUERIES = {
     "s30_index_inputs": lambda s, d: C.index_inputs(nodes(s, d), edges(s, d)),
     "j06_nearest_vectors": _knn,
     "a16_corpus_mean": lambda s, d: table(s, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")),
-    "w01_noun_hits": lambda s, d: noun_scores(s, d).select("graph_id", "noun", F.round("score", 5).alias("score"), "rank"),
-    "w02_margin_gate": lambda s, d: Re.gated(noun_scores(s, d)).groupBy("graph_id", "noun").agg(F.count(F.lit(1)).alias("accepted")),
+    "w01_noun_hits": lambda s, d: noun_scores(s, d).select("graph_id", "noun", "key", F.round("score", 5).alias("score"), "rank"),
+    "w02_margin_gate": lambda s, d: Re.gated(noun_scores(s, d)).select("graph_id", "noun", "key", "rank"),
     "g11_find_seeds": lambda s, d: Re.find_seeds(messages(s, d), nodes(s, d), edges(s, d)),
     "y01_read": lambda s, d: Re.read(messages(s, d), table(s, d, "nodes"), table(s, d, "edges"))["context"],
     "g10_assemble_context": lambda s, d: Gr.neighbourhood(Re.message_nouns(messages(s, d)).join(Re.seed_keys(Re.gated(noun_scores(s, d), margin=False), nodes(s, d), edges(s, d)), ["graph_id", "noun"]).select("ask", "graph_id", "key").distinct(), edges(s, d), nodes(s, d), 2).groupBy("ask", "graph_id").agg(F.count(F.lit(1)).alias("members")),
@@ -166,15 +214,24 @@ QUERIES = {
     "j14_remapped_edges": lambda s, d: R.remapped(edges(s, d), C.first_edge_self(edges(s, d)).select("graph_id", F.lit("PERSON::user").alias("old_key"), F.col("self_key").alias("new_key"))).select("graph_id", "id", "key"),
     "j15_supersession": _supersession,
     "m08_superseded_edges": _superseded_edges,
-    "m06_upserted_nodes": lambda s, d: _listed(C.upsert_nodes(nodes(s, d), staged_node_rows(s, d)), "aliases", "source_episode_ids").select("graph_id", "key", "name", "kind", "aliases", "confidence", "source_episode_ids", "outcome"),
+    "m06_upserted_nodes": _upserted_nodes,
     "m07_upserted_edges": _upserted_edges,
-    "a14_write_counters": lambda s, d: _upserted_edges(s, d).groupBy("graph_id").agg(F.count_if(F.col("outcome") == "created").alias("created"), F.count_if(F.col("outcome") == "reinforced").alias("reinforced"), F.count_if(F.col("outcome") == "kept").alias("kept")),
+    "a14_write_counters": lambda s, d: _written(s, d)["counters"],
+    "m15_sticky_self": lambda s, d: C.sticky_self(C.first_edge_self(split_edges(s, d)[0]), C.first_edge_self(split_edges(s, d)[1])),
+    "j13_hinted_entities": _hinted,
+    "j27_known_forms": lambda s, d: C.known_forms(nodes(s, d)),
+    "f30_model_candidates": _model_candidates,
+    "f31_model_decisions": _model_decisions,
+    "m12_relationship_ends": _relationship_ends,
+    "g02_rendered_graphs": lambda s, d: Gr.rendered(nodes(s, d).select(F.col("graph_id").alias("ask"), "graph_id", "key"), nodes(s, d).withColumns({c: F.lit(None).cast(k) for c, k in (("aliases", "array<string>"), ("properties", "map<string,string>"))}), edges(s, d)),
+    "g08_injections": lambda s, d: Gr.injections(chosen(s, d), edges(s, d), nodes(s, d), LOW),
+    "m09_reinforced_edges": lambda s, d: C.reinforce(edges(s, d), _traversals(s, d), NOW).select("graph_id", "id", F.round("strength", 6).alias("strength"), "updated_at"),
     "a13_reinforced": lambda s, d: C.reinforce(edges(s, d), _traversals(s, d)).select("graph_id", "id", F.round("strength", 6).alias("strength")),
     "y15_decayed_graph": lambda s, d: C.decay_edges(edges(s, d), NOW).groupBy("graph_id").agg(F.count_if("decayed").alias("decayed"), F.count_if("dormant").alias("dormant"), F.round(F.sum("strength"), 3).alias("strength")),
     "k02_decay_due": lambda s, d: edges(s, d).groupBy("graph_id").agg(F.max(instant("updated_at")).alias("last")).select("graph_id", C.decay_due(F.col("last"), F.to_timestamp(F.lit(NOW))).alias("due")),
     "proj15_graph_snapshot": lambda s, d: C.decay_edges(edges(s, d), NOW).select("graph_id", "id", "source_key", "relation", "target_key", F.round("strength", 4).alias("strength"), "dormant", F.element_at("properties", "superseded_by").alias("superseded_by")),
     "j29_orphans": lambda s, d: C.orphans(nodes(s, d), edges(s, d)),
-    "j32_graph_delta": _first_last,
+    "j32_graph_delta": _deliveries_delta,
     "j30_index_sync": lambda s, d: C.index_sync_plan(table(s, d, "node_snapshots").select("graph_id", "key").distinct(), nodes(s, d).select("graph_id", "key")),
     "j24_found_nodes": lambda s, d: _retrieved(s, d)["node"],
     "y14_retrieve_memory": lambda s, d: _retrieved(s, d)["relationships"].select("ask", "graph_id", "id"),
@@ -228,24 +285,32 @@ _OLDNEW = (
     f"old as (select * from ea where ts0 < {_CUTTS} qualify row_number() over (partition by graph_id, key order by ts0, id) = 1)",
     f"new as (select * from ea where ts0 >= {_CUTTS})",
     "lold as (select * from old where coalesce(properties['superseded_by'], '') = '')",
-    """cand as (select o.graph_id, o.id as old_id, o.key as old_key, w.key as new_key, w.relation as new_relation, w.ts0, w.id
+    """cand as (select o.graph_id, o.id as old_id, o.key as old_key, w.key as new_key, w.relation as new_relation, w.ts0, w.id as new_id
         from new w join lold o on o.graph_id = w.graph_id and o.source_key = w.source_key
         where (o.target_key = w.target_key and o.relation <> w.relation) or (o.relation = w.relation and o.target_key <> w.target_key and 'one_to_one' in (o.cardinality, w.cardinality)))""",
-    "sup as (select graph_id, old_id, old_key, new_relation, new_key from cand qualify row_number() over (partition by graph_id, old_id, new_relation order by ts0, id, new_key) = 1)",
+    "sup as (select graph_id, old_id, old_key, new_relation, new_key, ts0, new_id from cand qualify row_number() over (partition by graph_id, old_id, new_relation order by ts0, new_id, new_key) = 1)",
 )
-_UPSERT = """
+_UPSERT = f"""
   u as (select * from new where source_key <> target_key),
   f as (select graph_id, key, first(source_key order by ts0, id) as s, first(relation order by ts0, id) as r, first(target_key order by ts0, id) as t,
-        first(confidence order by confidence desc, ts0, id) as bc, first(snippet order by confidence desc, ts0, id) as bs, count(*) as k from u group by graph_id, key),
+        first(confidence order by confidence desc, ts0, id) as bc, first(snippet order by confidence desc, ts0, id) as bs, first(evidence order by confidence desc, ts0, id) as be, count(*) as k, flatten(list(coalesce(source_episode_ids, []))) as ep from u group by graph_id, key),
   up as (select coalesce(o.graph_id, f.graph_id) as graph_id, coalesce(o.key, f.key) as key, coalesce(o.source_key, f.s) as source_key, coalesce(o.relation, f.r) as relation, coalesce(o.target_key, f.t) as target_key,
         round(case when o.key is null then 100 else least(o.strength + 15 * coalesce(f.k, 0), 100) end, 6) as strength,
         case when o.key is null or coalesce(f.bc > o.confidence, false) then f.bc else o.confidence end as confidence,
         case when o.key is null or coalesce(f.bc > o.confidence, false) then f.bs else o.snippet end as snippet,
-        case when o.key is null then 'created' when f.key is null then 'kept' else 'reinforced' end as outcome
+        case when o.key is null or coalesce(f.bc > o.confidence, false) then f.be else o.evidence end as evidence,
+        array_to_string(list_sort(list_filter(case when f.key is null then coalesce(o.source_episode_ids, []) else list_distinct(list_concat(coalesce(o.source_episode_ids, []), f.ep)) end, lambda x: x is not null)), '|') as source_episode_ids,
+        case when f.key is null then o.updated_at else '{NOW}' end as updated_at,
+        case when o.key is null then 'created' when f.key is null then 'kept' else 'reinforced' end as outcome, coalesce(f.k, 0) as mentions
         from old o full join f on o.graph_id = f.graph_id and o.key = f.key)""".strip()
 _DAYS = f"greatest(0.0::double, (epoch_us(timestamptz '{NOW}+00') - epoch_us(try_cast(updated_at as timestamptz))) / 86400e6)"
 _RATE = "case stability " + " ".join(f"when '{k}' then {v}" for k, v in config.DECAY_PER_DAY.items()) + " end"
 _DEC = f"dec as (select *, strength * exp(-({_RATE}) * {_DAYS}) as s1 from e)"
+_TRAVERSED = (
+    "sel as (select distinct read_id, graph_id, k from (select read_id, graph_id, unnest(selected) as k from read_trace) where k is not null)",
+    "ek as (select distinct graph_id, source_key, target_key, key from e)",
+    "trav as (select ek.graph_id, ek.key from ek join sel a on a.graph_id = ek.graph_id and a.k = ek.source_key join sel b on b.read_id = a.read_id and b.graph_id = ek.graph_id and b.k = ek.target_key)",
+)
 _LOW = {"primary": 0.05, "secondary": 0.20}
 _NAMES = (
     "nm as (select read_id as ask, graph_id, replace(split_part(min(seeds[1]), '::', 2), '_', ' ') as name from read_trace where seeds[1] is not null group by all)",
@@ -269,7 +334,7 @@ SQL = {
     "j02_adjacency": sql("select graph_id, from_key, to_key, edge_id, direction, round(share, 6) as share from adj", "e", "bothways", "adj"),
     "a01_incident_strength": sql("select graph_id, from_key, count(*) as degree, round(sum(strength), 4) as strength from bothways group by all", "e", "bothways"),
     "g01_neighbourhood": _with("select ask, graph_id, key, min(hop) as hop from (select ask, graph_id, key, 0 as hop from seeds union all select ask, graph_id, key, 1 from one union all select o.ask, o.graph_id, b.to_key, 2 from one o join bothways b on b.graph_id = o.graph_id and b.from_key = o.key) group by ask, graph_id, key", "n", "e", "bothways", "seeds", extra=("one as (select distinct s.ask, s.graph_id, b.to_key as key from seeds s join bothways b on b.graph_id = s.graph_id and b.from_key = s.key)",)),
-    "proj14_induced_edges": sql("select a.ask, e.graph_id, e.id from e join chosen a on a.graph_id = e.graph_id and a.key = e.source_key join chosen b on b.ask = a.ask and b.graph_id = e.graph_id and b.key = e.target_key", *RETRIEVAL[:17], **_LOW),
+    "proj14_induced_edges": sql("select b.ask, b.graph_id, b.id from (select a.ask, e.graph_id, e.id, e.target_key as key from pick a join e on a.graph_id = e.graph_id and a.key = e.source_key) b join pick c on c.ask = b.ask and c.graph_id = b.graph_id and c.key = b.key", *RETRIEVAL[:17], "pick", **_LOW),
     "g03_spread_activation": sql("select ask, graph_id, key, round(score, 6) as score, hop, direction from act", *RETRIEVAL[:10]),
     "g06_co_episode_boost": sql("select ask, graph_id, key, round(score, 6) as score, direction, co_episode from boosted", *RETRIEVAL[:14], **_LOW),
     "g07_budget_select": sql("select ask, graph_id, key, direction, rank from chosen", *RETRIEVAL[:17], **_LOW),
@@ -284,8 +349,8 @@ SQL = {
         u as (select vec_id, pos, c / sqrt(sum(c * c) over (partition by vec_id)) as c from v),
         s as (select q.vec_id as q_id, w.vec_id as v_id, round(sum(q.c * w.c), 9) as score from u q join u w using (pos) where q.vec_id % 100 = 0 group by all)
         select q_id, v_id, round(score, 6) as score, row_number() over (partition by q_id order by score desc, v_id) as rank from s qualify rank <= 3""",
-    "w01_noun_hits": _with("select graph_id, noun, round(score, 5) as score, rank from hits", "n", "e", "idx", extra=_NOUN_SEARCH[:13]),
-    "w02_margin_gate": _with("select graph_id, noun, count(*) as accepted from acc group by all", "n", "e", "idx", extra=_NOUN_SEARCH),
+    "w01_noun_hits": _with("select graph_id, noun, key, round(score, 5) as score, rank from hits", "n", "e", "idx", extra=_NOUN_SEARCH[:13]),
+    "w02_margin_gate": _with("select graph_id, noun, key, rank from acc", "n", "e", "idx", extra=_NOUN_SEARCH),
     "g11_find_seeds": _with(
         "select distinct mn.ask, mn.graph_id, sk.key from mn join sk on sk.graph_id = mn.graph_id and sk.noun = mn.noun",
         "n",
@@ -326,29 +391,67 @@ SQL = {
     "w08_bands": "select graph_id, kind, case when confidence >= 0.7 then key end as target_key, confidence, case when confidence >= 0.7 then 'merge' else 'new' end as decision, confidence >= 0.7 and confidence <= 0.9 as flagged from (select distinct graph_id, kind, key, confidence from node_records where confidence between 0 and 1) qualify row_number() over (partition by graph_id, kind order by confidence desc, key desc) = 1",
     "w11_first_edge_self": sql("select graph_id, first(source_key order by coalesce(try_cast(created_at as timestamptz), to_timestamp(0)), id) as self_key from e group by graph_id", "e"),
     "j14_remapped_edges": _with("select e.graph_id, e.id, (case when e.source_key = 'PERSON::user' then s.self_key else e.source_key end) || '::' || relation || '::' || (case when e.target_key = 'PERSON::user' then s.self_key else e.target_key end) as key from e join selfs s using (graph_id)", "e", extra=("selfs as (select graph_id, first(source_key order by coalesce(try_cast(created_at as timestamptz), to_timestamp(0)), id) as self_key from e group by graph_id)",)),
-    "j15_supersession": _with("select * from sup", "e", extra=_OLDNEW),
-    "m08_superseded_edges": _with("select old.graph_id, old.id, case when d.by is not null then 1.0 else strength end as strength, coalesce(d.by, properties['superseded_by']) as by from old left join (select graph_id, old_id as id, max(new_key) as by from sup group by all) d using (graph_id, id)", "e", extra=_OLDNEW),
+    "j15_supersession": _with("select graph_id, old_id, old_key, new_relation, new_key from sup", "e", extra=_OLDNEW),
+    "m08_superseded_edges": _with(f"select old.graph_id, old.id, case when d.by is not null then 1.0 else strength end as strength, coalesce(d.by, properties['superseded_by']) as by, case when d.by is not null then '{NOW}' else updated_at end as updated_at from old left join (select graph_id, old_id as id, arg_max(new_relation, (ts0, new_id, new_relation)) as by from sup group by all) d using (graph_id, id)", "e", extra=_OLDNEW),
     "m06_upserted_nodes": _with(
-        """select coalesce(n.graph_id, f.graph_id) as graph_id, coalesce(n.key, f.key) as key, coalesce(n.name, f.name) as name, coalesce(n.kind, f.kind) as kind,
-            array_to_string(list_sort(list_filter(case when n.key is null then f.al when f.key is null then coalesce(n.aliases, []) else list_distinct(list_concat(coalesce(n.aliases, []), f.al, list_filter([f.name], lambda x: x <> n.name))) end, lambda x: x is not null)), '|') as aliases,
+        f"""select coalesce(n.graph_id, f.graph_id) as graph_id, coalesce(n.key, f.key) as key, coalesce(n.name, f.name) as name, coalesce(n.kind, f.kind) as kind,
+            array_to_string(list_sort(list_filter(case when n.key is null then list_filter(f.al, lambda x: x <> '') when f.key is null then coalesce(n.aliases, []) else list_distinct(list_concat(coalesce(n.aliases, []), f.every)) end, lambda x: x is not null)), '|') as aliases,
             greatest(n.confidence, f.conf) as confidence,
             array_to_string(list_sort(list_filter(case when n.key is null then f.ep when f.key is null then coalesce(n.source_episode_ids, []) else list_distinct(list_concat(coalesce(n.source_episode_ids, []), f.ep)) end, lambda x: x is not null)), '|') as source_episode_ids,
-            case when n.key is null then 'created' when f.key is null then 'kept' else 'merged' end as outcome
+            array_to_string(list_sort(list_concat(list_transform(list_filter(map_entries(coalesce(n.properties, map([]::varchar[], []::varchar[]))), lambda x: f.key is null or x.key not in ('rec', 'kind')), lambda x: x.key || '=' || coalesce(x.value, '')), case when f.key is null then [] else ['rec=' || f.rec, 'kind=' || f.lastkind] end)), '|') as properties,
+            case when f.key is null then n.updated_at else '{NOW}' end as updated_at,
+            case when n.key is null then 'created' when f.key is null then 'kept' else 'merged' end as outcome, coalesce(f.k, 0) as mentions
             from n full join f on n.graph_id = f.graph_id and n.key = f.key""",
         "n",
         extra=(
             f"sr as (select distinct rec_id as seq, graph_id, kind || '::' || {canon('name')} as key, name, kind, coalesce(aliases, []) as aliases, case when confidence between 0 and 1 then confidence else 0.85 end as conf, coalesce(source_episode_ids, []) as ep from node_records where name is not null and kind is not null)",
-            "f as (select graph_id, key, first(name order by seq) as name, first(kind order by seq) as kind, list_distinct(list_concat(flatten(list(aliases)), (list(name order by seq))[2:])) as al, max(conf) as conf, list_distinct(flatten(list(ep))) as ep from sr group by graph_id, key)",
+            "f as (select graph_id, key, first(name order by seq) as name, first(kind order by seq) as kind, list_distinct(list_concat(flatten(list(aliases)), (list(name order by seq))[2:])) as al, list_filter(list_distinct(list_concat(flatten(list(aliases)), list(name))), lambda x: x <> '') as every, count(*) as k, last(seq order by seq)::varchar as rec, last(kind order by seq) as lastkind, max(conf) as conf, list_distinct(flatten(list(ep))) as ep from sr group by graph_id, key)",
         ),
     ),
     "m07_upserted_edges": _with("select * from up", "e", extra=(*_OLDNEW, _UPSERT)),
-    "a14_write_counters": _with("select graph_id, count(*) filter (where outcome = 'created') as created, count(*) filter (where outcome = 'reinforced') as reinforced, count(*) filter (where outcome = 'kept') as kept from up group by graph_id", "e", extra=(*_OLDNEW, _UPSERT)),
-    "a13_reinforced": _with("select e.graph_id, e.id, round(case when t.k is null then strength else least(strength + 15 * t.k, 100) end, 6) as strength from e left join (select graph_id, key, count(*) as k from trav group by all) t using (graph_id, key)", "e", extra=("sel as (select distinct read_id, graph_id, k from (select read_id, graph_id, unnest(selected) as k from read_trace) where k is not null)", "ek as (select distinct graph_id, source_key, target_key, key from e)", "trav as (select ek.graph_id, ek.key from ek join sel a on a.graph_id = ek.graph_id and a.k = ek.source_key join sel b on b.read_id = a.read_id and b.graph_id = ek.graph_id and b.k = ek.target_key)")),
+    "a14_write_counters": _with(
+        """select graph_id, sum(nc)::bigint as nodes_created, sum(nm)::bigint as nodes_merged, sum(ec)::bigint as edges_created, sum(er)::bigint as edges_reinforced, 0::bigint as edges_dropped, sum(es)::bigint as edges_superseded, sum(rr)::bigint as reinforced_from_read from (
+            select graph_id, 0 as nc, 0 as nm, 0 as ec, 0 as er, 0 as es, 0 as rr from n union all select graph_id, 0, 0, 0, 0, 0, 0 from up
+            union all select graph_id, (n.key is null)::int, k - (n.key is null)::int, 0, 0, 0, 0 from (select graph_id, kind || '::' || """
+        + canon("name")
+        + """ as key, count(*) as k from (select distinct graph_id, rec_id, name, kind from node_records where name is not null and kind is not null) group by all) f left join n using (graph_id, key)
+            union all select graph_id, 0, 0, (outcome = 'created')::int, greatest(mentions - (outcome = 'created')::int, 0), 0, 0 from up
+            union all select graph_id, 0, 0, 0, 0, 1, 0 from sup
+            union all select trav.graph_id, 0, 0, 0, 0, 0, 1 from trav join (select distinct graph_id, key from up) u using (graph_id, key)) group by graph_id""",
+        "n",
+        "e",
+        extra=(*_OLDNEW, _UPSERT, *_TRAVERSED),
+    ),
+    "m15_sticky_self": _with("select graph_id, coalesce(a.k, b.k) as self_key from (select graph_id, first(source_key order by ts0, id) as k from old group by graph_id) a full join (select graph_id, first(source_key order by ts0, id) as k from new group by graph_id) b using (graph_id)", "e", extra=_OLDNEW[:3]),
+    "j13_hinted_entities": f"""with w as ({{W10}}), h as (select r.graph_id, r.rec_id as entity, min(n.key) as hint from (select distinct graph_id, rec_id, kind, key from node_records where name is not null and kind is not null) r
+            join ({CTES["n"]}) n on n.graph_id = r.graph_id and n.key = r.key and n.kind = r.kind group by all)
+        select w.graph_id, w.entity, case when decision = 'new' and hint is not null then 'extractor_hint' else rule end as rule, case when decision = 'new' and hint is not null then 'review' else decision end as decision,
+            case when decision = 'new' and hint is not null then hint else candidates end as candidates from w left join h using (graph_id, entity)""",
+    "j27_known_forms": _with(f"select graph_id, canon, arg_max(key, (ts0, id)) as key from (select graph_id, key, id, coalesce(try_cast(created_at as timestamptz), to_timestamp(0)) as ts0, {canon('form')} as canon from (select graph_id, key, id, created_at, unnest(list_concat([name], list_filter(coalesce(aliases, []), lambda x: x is not null))) as form from n)) where canon is not null group by all", "n"),
+    "f30_model_candidates": _with("select distinct r.graph_id, r.kind as entity, r.key, round(least(1.0, greatest(0.0, coalesce(case when not isnan(r.confidence) then r.confidence end, 0.0))), 6) as confidence, r.rec_id::varchar as reason from (select distinct graph_id, kind, key, confidence, rec_id from node_records where key is not null and kind is not null) r join n on n.graph_id = r.graph_id and n.key = r.key", "n"),
+    "f31_model_decisions": sql("select graph_id, id, case stability when 'mutable' then 'supersedes' when 'time_bound' then 'contradicts' else 'coexist' end as decision, case stability when 'ephemeral' then 'no usable decision' else 'r' end as reason from e", "e"),
+    "m12_relationship_ends": _with(
+        "select c.graph_id, rec_id, source, target, coalesce(a.key, case when b.key is not null then 'OTHER::' || " + canon("source") + " end) as source_key, coalesce(b.key, case when a.key is not null then 'OTHER::' || " + canon("target") + " end) as target_key, case when a.key is null and b.key is not null then 'OTHER::' || " + canon("source") + " end as made_source, case when b.key is null and a.key is not null then 'OTHER::' || " + canon("target") + " end as made_target"
+        + " from c left join ff a on a.graph_id = c.graph_id and a.canon = " + canon("source") + " left join ff b on b.graph_id = c.graph_id and b.canon = " + canon("target"),
+        "n",
+        extra=(
+            "c as (select distinct graph_id, rec_id, name as source, coalesce(list_filter(aliases, lambda x: x is not null)[1], 'nobody ' || rec_id) as target from node_records where name is not null)",
+            f"ff as (select graph_id, canon, arg_min(key, (ts0, id)) as key from (select graph_id, key, id, coalesce(try_cast(created_at as timestamptz), to_timestamp(0)) as ts0, {canon('form')} as canon from (select graph_id, key, id, created_at, unnest(list_concat([name], list_filter(coalesce(aliases, []), lambda x: x is not null))) as form from n)) group by all)",
+        ),
+    ),
+    "g02_rendered_graphs": sql("select graph_id as ask, graph_id, string_agg(line, chr(10) order by part, key, line) as text from (select graph_id, 0 as part, key, '- ' || key || ' (name=' || coalesce(name, '') || ')' as line from n union select graph_id, 1, key, '  ' || source_key || ' -[' || relation || ']-> ' || target_key from e) group by graph_id", "n", "e"),
+    "g08_injections": sql(
+        "select x.ask, x.graph_id, x.key as edge_key, s.name as source, x.relation, replace(lower(x.relation), '_', ' ') as relation_phrase, t.name as target, x.snippet from (select ask, graph_id, key, min((source_key, relation, target_key)) as e, e[1] as source_key, e[2] as relation, e[3] as target_key, max(snippet) as snippet from (select c.ask, c.graph_id, l.key, l.source_key, l.relation, l.target_key, null as snippet from chosen c join live l on l.graph_id = c.graph_id and l.source_key = c.key join chosen d on d.ask = c.ask and d.graph_id = c.graph_id and d.key = l.target_key union all select q.ask, q.graph_id, l.key, l.source_key, l.relation, l.target_key, q.snippet from sniptop q join live l on l.graph_id = q.graph_id and l.id = q.id) group by ask, graph_id, key) x join n s on s.graph_id = x.graph_id and s.key = x.source_key join n t on t.graph_id = x.graph_id and t.key = x.target_key",
+        *RETRIEVAL[:22],
+        **_LOW,
+    ),
+    "m09_reinforced_edges": _with(f"select e.graph_id, e.id, round(case when t.k is null then strength else least(strength + 15 * t.k, 100) end, 6) as strength, case when t.k is null then updated_at else '{NOW}' end as updated_at from e left join (select graph_id, key, count(*) as k from trav group by all) t using (graph_id, key)", "e", extra=_TRAVERSED),
+    "a13_reinforced": _with("select e.graph_id, e.id, round(case when t.k is null then strength else least(strength + 15 * t.k, 100) end, 6) as strength from e left join (select graph_id, key, count(*) as k from trav group by all) t using (graph_id, key)", "e", extra=_TRAVERSED),
     "y15_decayed_graph": _with("select graph_id, count(s1) as decayed, count(*) filter (where coalesce(s1, strength) < 2) as dormant, round(sum(coalesce(s1, strength)), 3) as strength from dec group by graph_id", "e", extra=(_DEC,)),
     "k02_decay_due": sql(f"select graph_id, max(try_cast(updated_at as timestamptz)) is null or epoch_us(timestamptz '{NOW}+00') - epoch_us(max(try_cast(updated_at as timestamptz))) >= 86400000000 as due from e group by graph_id", "e"),
     "proj15_graph_snapshot": _with("select graph_id, id, source_key, relation, target_key, round(coalesce(s1, strength), 4) as strength, coalesce(s1, strength) < 2 as dormant, properties['superseded_by'] as superseded_by from dec", "e", extra=(_DEC,)),
     "j29_orphans": sql("select n.graph_id, n.key from n left join (select distinct graph_id, from_key from bothways) b on b.graph_id = n.graph_id and b.from_key = n.key where b.from_key is null", "n", "e", "bothways"),
-    "j32_graph_delta": "with x as (select graph_id, min(snapshot_no) as lo, max(snapshot_no) as hi from node_snapshots group by graph_id), r as (select distinct graph_id, key, name, kind, confidence, snapshot_no, lo, hi from node_snapshots join x using (graph_id)), a as (select * from r where snapshot_no = lo), b as (select * from r where snapshot_no = hi) select coalesce(a.graph_id, b.graph_id) as graph_id, coalesce(a.key, b.key) as key, case when a.key is null then 'created' when b.key is null then 'removed' else 'changed' end as change from a full join b on a.graph_id = b.graph_id and a.key = b.key where a.key is null or b.key is null or a.name is distinct from b.name or a.kind is distinct from b.kind or a.confidence is distinct from b.confidence",
+    "j32_graph_delta": "with p as (select graph_id, snapshot_no, lead(snapshot_no) over (partition by graph_id order by snapshot_no) as to_no from (select distinct graph_id, snapshot_no from node_snapshots)), r as (select graph_id, snapshot_no, key, min((name, kind, confidence)) as m from node_snapshots group by all), a as (select graph_id, to_no, key, m from r join p using (graph_id, snapshot_no) where to_no is not null), b as (select r.graph_id, p.to_no, key, m from r join p on p.graph_id = r.graph_id and p.to_no = r.snapshot_no) select coalesce(a.graph_id, b.graph_id) as graph_id, coalesce(a.to_no, b.to_no) as to_no, coalesce(a.key, b.key) as key, case when a.key is null then 'created' when b.key is null then 'removed' else 'changed' end as change from a full join b on a.graph_id = b.graph_id and a.to_no = b.to_no and a.key = b.key where a.key is null or b.key is null or a.m is distinct from b.m",
     "j30_index_sync": sql("select coalesce(i.graph_id, c.graph_id) as graph_id, coalesce(i.key, c.key) as key, case when c.key is null then 'drop' when i.key is null then 'add' else 'keep' end as action from (select distinct graph_id, key from node_snapshots) i full join (select graph_id, key from n) c on i.graph_id = c.graph_id and i.key = c.key", "n"),
     "j24_found_nodes": _with("select * from node", "n", "e", "bothways", extra=_NAMES[:4]),
     "y14_retrieve_memory": _with("select distinct ask, graph_id, id from rel", "n", "e", "bothways", extra=_NAMES),
@@ -364,3 +467,4 @@ SQL = {
     "k17_last_read": "select graph_id, arg_max(read_id, (ts, received_at, read_id)) as read_id from read_trace group by graph_id",
     "s29_high_water": "with t as (select graph_id, read_id, row_number() over (partition by graph_id order by read_id) as turn from (select distinct graph_id, read_id from read_trace)), h as (select graph_id, count(distinct read_id) as done from read_trace where ts < timestamp '2025-06-01' group by graph_id) select graph_id, count(*) as pending from t left join h using (graph_id) where turn > coalesce(done, 0) group by graph_id",
 }
+SQL["j13_hinted_entities"] = SQL["j13_hinted_entities"].replace("{W10}", SQL["w10_er_resolution"])

@@ -35,6 +35,7 @@ CTES = {
     "classed": """select *, row_number() over (partition by ask, graph_id, direction = 'REVERSE' order by score desc, key) as c from boosted where score >= {primary}""",
     "placed": """select *, row_number() over (partition by ask, graph_id order by (case when direction = 'REVERSE' then c <= 2 else c <= 6 end) desc, score desc, key) as p from classed""",
     "chosen": """select ask, graph_id, key, score, direction, hop, row_number() over (partition by ask, graph_id order by score desc, key) as rank from placed where p <= 8""",
+    "pick": "select ask, graph_id, key from chosen",
     "live": "select *, coalesce(try_cast(created_at as timestamptz), to_timestamp(0)) as ts0 from e where coalesce(properties['superseded_by'], '') = ''",
     "linerows": """select c.ask, c.graph_id, c.rank, l.ts0, l.id, s.name || ' -[' || l.relation || ']-> ' || t.name as line
         from chosen c join live l on l.graph_id = c.graph_id and l.source_key = c.key
@@ -58,7 +59,7 @@ RETRIEVAL = ("n", "e", "bothways", "adj", "ways", "seeds", "h0", "h1", "h2", "ac
 
 def sql(select: str, *names: str, primary: float = 0.30, secondary: float = 0.60) -> str:
     """``select`` behind the named CTEs, in an order in which each stands after those it uses."""
-    parts = [f"{k} as ({CTES[k].replace('{primary}', str(primary)).replace('{secondary}', str(secondary))})" for k in sorted(set(names), key=ORDER.index)]
+    parts = [f"{k} as {'materialized ' if k in ('chosen', 'pick') else ''}({CTES[k].replace('{primary}', str(primary)).replace('{secondary}', str(secondary))})" for k in sorted(set(names), key=ORDER.index)]
     return (("with " + ",\n".join(parts) + "\n") if parts else "") + select
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -42,6 +43,9 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
         sc.setCheckpointDir(_checkpoint_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     if free:
+        # The plan that was run holds its shuffles as long as its frame is known here.
+        del df
+        gc.collect()
         sc._jvm.System.gc()
     return out
 
