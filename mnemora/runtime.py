@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,11 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
         sc.setCheckpointDir(_checkpoint_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     if free:
-        # The plan that was run holds its shuffles as long as its frame is known here.
+        # The plan that was run holds its shuffles as long as its frame is known here; Python's bridge lets go of
+        # frames within a second.
         del df
         gc.collect()
+        time.sleep(1.5)
         sc._jvm.System.gc()
     return out
 
