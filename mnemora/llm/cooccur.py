@@ -178,7 +178,14 @@ def basket_sizes(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy(*FAMILY, "set_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def pair_counts(baskets: DataFrame, least: dict[str, int], lift: float = 0.0) -> DataFrame:
+def degree_histograms(baskets: DataFrame) -> DataFrame:
+    """``basket, graph_id, side, degree, n``: how many keys have a frequency (side ``key``), how many baskets a size (``set``)."""
+    keys = baskets.groupBy(*FAMILY, "key").agg(F.count(F.lit(1)).alias("degree")).select(*FAMILY, F.lit("key").alias("side"), "degree")
+    sets = basket_sizes(baskets).select(*FAMILY, F.lit("set").alias("side"), "degree")
+    return keys.unionByName(sets).groupBy(*FAMILY, "side", "degree").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_counts(baskets: DataFrame, least: dict[str, int], lift: float = 0.0, histograms: DataFrame | None = None) -> DataFrame:
     """Exact ``n_ab, n_a, n_b, n_sets`` of every pair of keys with ``n_ab >= least[basket]`` and ``n_ab n_sets >= lift n_a n_b``.
 
     Two bounds leave out only keys that can be in no such pair: a key met less often than ``least``, and, since
@@ -186,17 +193,21 @@ def pair_counts(baskets: DataFrame, least: dict[str, int], lift: float = 0.0) ->
     work left follows the pairs that can qualify. Pairs of one basket are streamed by two generators and counted
     before the shuffle; no basket's pairs ever stand in one array. A basket of more than ``BLOCK_KEYS`` keys is cut
     into blocks by a hash of the key, and every two blocks meet in a list of their own, so a huge basket is spread
-    over many tasks.
+    over many tasks. ``histograms`` are those of ``degree_histograms``, if they are at hand.
     """
+    histograms = checkpointed(degree_histograms(baskets)) if histograms is None else histograms
     floor = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])[F.col("basket")]
-    sizes = basket_sizes(baskets)
-    sets = sizes.groupBy(*FAMILY).agg(F.count(F.lit(1)).alias("n_sets"))
+    sets = histograms.where("side = 'set'").groupBy(*FAMILY).agg(F.sum("n").alias("n_sets"))
     items = baskets.groupBy(*FAMILY, "key").agg(F.count(F.lit(1)).alias("n"))
     items = items.join(sets, FAMILY).where((F.col("n") >= floor) & (F.col("n") * lift <= F.col("n_sets")))
-    large = sizes.where(F.col("degree") > BLOCK_KEYS).select(*FAMILY, "set_id", F.ceil(F.col("degree") / BLOCK_KEYS).cast("int").alias("blocks"))
-    kept = baskets.join(items, [*FAMILY, "key"]).join(large, [*FAMILY, "set_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    kept = kept.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    kept = baskets.join(items, [*FAMILY, "key"])
+    if histograms.where(f"side = 'set' and degree > {BLOCK_KEYS}").isEmpty():
+        kept = kept.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+    else:
+        large = basket_sizes(baskets).where(F.col("degree") > BLOCK_KEYS).select(*FAMILY, "set_id", F.ceil(F.col("degree") / BLOCK_KEYS).cast("int").alias("blocks"))
+        kept = kept.join(large, [*FAMILY, "set_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        kept = kept.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        kept = kept.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     groups = kept.groupBy(*FAMILY, "set_id", "low", "high").agg(F.array_sort(F.collect_list(F.struct("key", "n", "block"))).alias("keys"), F.max("n_sets").alias("n_sets")).where(F.size("keys") > 1)
     first = groups.select(*FAMILY, "n_sets", "low", "high", "keys", F.posexplode("keys").alias("pos", "a")).where(F.col("pos") < F.size("keys") - 1)
     after = F.slice("keys", F.col("pos") + 2, F.size("keys"))
@@ -219,12 +230,12 @@ def surprising_pairs(baskets: DataFrame, least: dict[str, int] | None = None, li
     count in ``n_sets``; ties of p-values share a q-value; an empty table gives no rows.
     """
     least = least or {"read": 1, "episode": 1}
-    counts = checkpointed(pair_counts(baskets, least, lift))
-    degrees = {"frequencies": baskets.groupBy(*FAMILY, "key").agg(F.count(F.lit(1)).alias("degree")), "sizes": basket_sizes(baskets)}
+    # Shuffle files of the counting are freed before what follows; they are most of the disk that is needed.
+    histograms = checkpointed(degree_histograms(baskets), free=True)
+    counts = checkpointed(pair_counts(baskets, least, lift, histograms), free=True)
 
-    def histogram(name: str) -> DataFrame:
-        per = degrees[name].groupBy(*FAMILY, "degree").agg(F.count(F.lit(1)).alias("n"))
-        return per.groupBy(*FAMILY).agg(F.array_sort(F.collect_list(F.struct("degree", "n"))).alias(name), F.sum("n").alias(f"n_{name}"))
+    def histogram(side: str, name: str) -> DataFrame:
+        return histograms.where(F.col("side") == side).groupBy(*FAMILY).agg(F.array_sort(F.collect_list(F.struct("degree", "n"))).alias(name), F.sum("n").alias(f"n_{name}"))
 
     kind = dict(baskets.dtypes)["graph_id"]
     tasks = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -233,7 +244,7 @@ def surprising_pairs(baskets: DataFrame, least: dict[str, int] | None = None, li
     cases = counts.select(*FAMILY, low, high, "n_ab").groupBy(*FAMILY, "n_low", "n_high", "n_ab").agg(F.count(F.lit(1)).alias("pairs"))
     load = cases.groupBy(*FAMILY).agg(F.ceil(F.count(F.lit(1)) / BUNDLE).cast("int").alias("bundles"))
     # A numbered repartition: these rows are few but costly, so they mustn't be merged into few tasks by their bytes.
-    model = checkpointed(histogram("frequencies").join(histogram("sizes"), FAMILY).join(load, FAMILY).repartition(tasks, *FAMILY))
+    model = checkpointed(histogram("key", "frequencies").join(histogram("set", "sizes"), FAMILY).join(load, FAMILY).repartition(tasks, *FAMILY))
     tests = model.select(*FAMILY, (F.col("n_frequencies") * (F.col("n_frequencies") - 1) / 2).alias("tests"))
     fitted = model.select(*FAMILY, "frequencies", "sizes").mapInPandas(_fitted_rows, f"{family}, f array<bigint>, x array<double>, y array<double>, m array<bigint>")
     spread = fitted.join(load, FAMILY).withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1))).drop("bundles")
@@ -241,7 +252,8 @@ def surprising_pairs(baskets: DataFrame, least: dict[str, int] | None = None, li
     bundled = bundled.groupBy(*FAMILY, "bundle").agg(F.collect_list(F.struct("n_low", "n_high", "n_ab", "pairs")).alias("cases"))
     work = bundled.join(spread, [*FAMILY, "bundle"]).drop("bundle").repartition(tasks)
     tails = work.select(*FAMILY, "f", "x", "y", "m", "cases").mapInPandas(_tail_rows, f"{family}, n_low bigint, n_high bigint, n_ab bigint, pairs bigint, expected double, p_value double")
-    ranked = ranked_by_p(tails, tests, tasks).select(*FAMILY, "n_low", "n_high", "n_ab", "expected", "p_value", "q_value")
+    # Written once: cutting ranges reads its input twice.
+    ranked = ranked_by_p(checkpointed(tails), tests, tasks).select(*FAMILY, "n_low", "n_high", "n_ab", "expected", "p_value", "q_value")
     scored = counts.withColumns({"n_low": low, "n_high": high}).join(ranked, [*FAMILY, "n_low", "n_high", "n_ab"])
     ratio = F.col("n_ab") * F.col("n_sets") / (F.col("n_a") * F.col("n_b"))
     return scored.select(*FAMILY, "key_a", "key_b", "n_ab", "n_a", "n_b", "n_sets", ratio.alias("lift"), "expected", "p_value", "q_value")
