@@ -11,6 +11,7 @@ from mnemora.functions import vectors as V
 from mnemora.functions.text import STOP_WORDS
 from mnemora.operators import agentic as A
 from mnemora.operators import consolidate as C
+from mnemora.operators import context as Co
 from mnemora.operators import decide as De
 from mnemora.operators import graph as Gr
 from mnemora.operators import resolve as R
@@ -201,7 +202,7 @@ QUERIES = {
     "w01_noun_hits": lambda s, d: noun_scores(s, d).select("graph_id", "noun", "key", F.round("score", 5).alias("score"), "rank"),
     "w02_margin_gate": lambda s, d: Re.gated(noun_scores(s, d)).select("graph_id", "noun", "key", "rank"),
     "g11_find_seeds": lambda s, d: Re.find_seeds(messages(s, d), nodes(s, d), edges(s, d)),
-    "y01_read": lambda s, d: Re.read(messages(s, d), table(s, d, "nodes"), table(s, d, "edges"))["context"],
+    "y01_read": lambda s, d: Co.contexts(messages(s, d), table(s, d, "nodes"), table(s, d, "edges")),
     "g10_assemble_context": lambda s, d: Gr.neighbourhood(Re.message_nouns(messages(s, d)).join(Re.seed_keys(Re.gated(noun_scores(s, d), margin=False), nodes(s, d), edges(s, d)), ["graph_id", "noun"]).select("ask", "graph_id", "key").distinct(), edges(s, d), nodes(s, d), 2).groupBy("ask", "graph_id").agg(F.count(F.lit(1)).alias("members")),
     "j08_er_exact": _er(R.exact_matches),
     "j09_er_alias": _er(R.alias_matches),
