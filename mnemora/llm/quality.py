@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.runtime import broadcast_if_small, checkpointed
@@ -47,8 +47,8 @@ STATISTICS = tuple(SLACK)
 DAMPING = 14.0
 #: Inliers of a concentration step: squared distance below this (0.999 quantile of chi-squared with 10 degrees).
 INLIER, STEPS, LEAST_INLIERS = 29.6, 5, 60
-#: Rated documents that at most take part in choosing the threshold, and the threshold where there are none.
-RATED_SAMPLE, DEFAULT_THRESHOLD = 20_000, 60.0
+#: The threshold where there are no ratings.
+DEFAULT_THRESHOLD = 60.0
 
 
 _BITS = {w: sum(1 << i for i, k in enumerate(LANGUAGES) if w in FUNCTION_WORDS[k].split()) for k in LANGUAGES for w in FUNCTION_WORDS[k].split()}
@@ -230,21 +230,30 @@ def outlierness(documents: DataFrame) -> DataFrame:
 def threshold(distances: DataFrame, labels: DataFrame) -> float:
     """Distance beyond which a document counts as no prose: the cut that agrees best with the raters' majority.
 
-    At most ``RATED_SAMPLE`` rated documents (those of smallest hashed id) take part. Of equally good cuts the
-    middle of the widest gap in log distance is taken; without usable ratings ``DEFAULT_THRESHOLD`` holds.
+    All rated documents take part; they're counted by distance and cut into ranges of distances, and only a row per
+    range reaches the driver. Cuts lie between different distances. Of equally good cuts the middle of the widest gap
+    in log distance is taken (of the first of those); without usable ratings ``DEFAULT_THRESHOLD`` holds.
     """
-    votes = labels.where("form is not null and doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("form") != "prose").cast("double")).alias("other"))
-    votes = votes.where("other <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(RATED_SAMPLE)
-    rated = distances.select("doc_id", "distance").where("distance is not null").join(broadcast_if_small(votes), "doc_id").select("distance", (F.col("other") > 0.5).alias("other")).collect()
-    if len({r.other for r in rated}) < 2:
+    spark = distances.sparkSession
+    votes = labels.where("form is not null and doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("form") != "prose").cast("double")).alias("other")).where("other <> 0.5")
+    rated = distances.select("doc_id", F.log(F.greatest("distance", F.lit(1e-3))).alias("x")).where("x is not null").join(broadcast_if_small(votes), "doc_id")
+    counted = checkpointed(rated.groupBy("x").agg(F.count_if(F.col("other") > 0.5).alias("other"), F.count_if(F.col("other") < 0.5).alias("prose")))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so a range keeps its number.
+    cut = checkpointed(counted.repartitionByRange(ranges, "x").withColumn("range", F.spark_partition_id()))
+    sums = cut.groupBy("range").agg(F.sum("other").alias("other"), F.sum("prose").alias("prose"), F.min("x").alias("first")).orderBy("range").collect()
+    if not sum(r.other for r in sums) or not sum(r.prose for r in sums):
         return DEFAULT_THRESHOLD
-    pairs = sorted((float(np.log(max(r.distance, 1e-3))), bool(r.other)) for r in rated)
-    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((~y)[::-1])[::-1], [0]])
-    inner = np.arange(1, len(x))
-    good = inner[wrong[inner] == wrong[inner].min()]
-    gap = good[np.argmax(x[good] - x[good - 1])]
-    return float(np.exp((x[gap] + x[gap - 1]) / 2))
+    # Before each range: wrong are the prose from there on and the others up to there.
+    starts, wrong = [], sum(r.prose for r in sums)
+    for r, behind in zip(sums, [*sums[1:], None], strict=True):
+        starts.append((r.range, wrong, behind and behind.first))
+        wrong += r.other - r.prose
+    up = Window.partitionBy("range").orderBy("x")
+    placed = cut.join(F.broadcast(spark.createDataFrame(starts, "range int, start bigint, behind double")), "range")
+    placed = placed.select((F.col("start") + F.sum(F.col("other") - F.col("prose")).over(up)).alias("wrong"), "x", F.coalesce(F.lead("x").over(up), "behind").alias("after"))
+    best = placed.where("after is not null").agg(F.min(F.struct("wrong", (F.col("x") - F.col("after")).alias("gap"), "x", "after")).alias("b")).first().b
+    return math.exp((best.x + best.after) / 2) if best else DEFAULT_THRESHOLD
 
 
 def not_prose(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -184,3 +184,36 @@ def test_statistics_of():
     assert (got["language"], got["n_words"], got["n_lines"]) == ("en", 7, 2)
     assert got["function_share"] == pytest.approx(3 / 7) and got["alternation"] == pytest.approx(5 / 6) and got["digit_share"] == pytest.approx(1 / 7)
     assert quality.statistics_of(None)[0] is None and quality.statistics_of("…")[2] == 0
+
+
+def test_threshold_takes_every_rated_document(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    def cut(ratings):
+        """The best cut between different distances, by trying each."""
+        x = np.log([max(d, 1e-3) for d, _ in ratings])
+        y = np.array([o for _, o in ratings])
+        values = np.unique(x)
+        after = np.searchsorted(np.sort(x[y]), values, "right") + (~y).sum() - np.searchsorted(np.sort(x[~y]), values, "right")
+        good = [i for i in range(len(values) - 1) if after[i] == after[:-1].min()]
+        i = max(good, key=lambda i: (values[i + 1] - values[i], -i))
+        return float(np.exp((values[i] + values[i + 1]) / 2))
+
+    # 30 000 ratings, all of which agree with one cut alone.
+    for at in (14_998, 14_999, 15_000):
+        docs = spark.range(30_000).select(F.col("id").alias("doc_id"), (1 + F.col("id") / 100).alias("distance"))
+        labels = docs.select("doc_id", F.when(F.col("doc_id") > at, "list").otherwise("prose").alias("form"))
+        assert quality.threshold(docs, labels) == pytest.approx(cut([(1 + k / 100, k > at) for k in range(30_000)]), rel=1e-12)
+    # Noise, equal distances, both forms at one distance, split votes, no votes.
+    rng = random.Random(3)
+    for n, steps in ((400, 30), (60, 4)):
+        rows = [(k, rng.randrange(steps) / 2) for k in range(n)]
+        other = {k: d > steps / 4 if rng.random() < 0.8 else rng.random() < 0.5 for k, d in rows} | {0: True, 1: False}
+        docs = spark.createDataFrame([*rows, (n, None), (n + 1, 0.3)], "doc_id bigint, distance double")
+        votes = [(k, "list" if o else "prose") for k, o in other.items()] + [(n, "list"), (n + 1, "list"), (n + 1, "prose"), (5 * n, "list"), (0, None), (None, "list")]
+        assert quality.threshold(docs, spark.createDataFrame(votes, "doc_id bigint, form string")) == pytest.approx(cut([(d, other[k]) for k, d in rows]))
+    same = spark.createDataFrame([(1, 5.0), (2, 5.0)], "doc_id bigint, distance double")
+    assert quality.threshold(same, spark.createDataFrame([(1, "list"), (2, "prose")], "doc_id bigint, form string")) == quality.DEFAULT_THRESHOLD
+    assert quality.threshold(same, spark.createDataFrame([(1, "list")], "doc_id bigint, form string")) == quality.DEFAULT_THRESHOLD
+    assert quality.threshold(same.limit(0), spark.createDataFrame([(1, "list")], "doc_id bigint, form string")) == quality.DEFAULT_THRESHOLD
