@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import time
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,14 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so its lineage ends there and survives lost executors.
 
     The cluster names the folder in ``spark.checkpoint.dir``; only a local session may leave it unset.
-    With ``free`` the driver collects its garbage afterwards, which lets Spark remove the shuffle files of the lineage
-    just cut; else they stay on the executors' disks until a collection happens by itself.
+    With ``free`` the shuffle files that this one plan wrote are removed as soon as the checkpoint is there; else they
+    stay on the executors' disks until the driver happens to collect its garbage.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_checkpoint_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    if free:
+    if free and not _removed_shuffles(df):
         # The plan that was run holds its shuffles as long as its frame is known here; Python's bridge lets go of
         # frames within a second.
         del df
@@ -53,6 +54,20 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def _removed_shuffles(df: DataFrame) -> bool:
+    """Removes the shuffle files of the plan that ``df`` ran, on all executors, and waits for it; false if it isn't known which."""
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    try:
+        ids = list(df._jdf.queryExecution().executedPlan().context().shuffleIds().keySet().toArray())
+    except Py4JError:  # the plan isn't an adaptive one
+        return False
+    if not cleaner.isDefined():
+        return False
+    for shuffle in ids:
+        cleaner.get().doCleanupShuffle(shuffle, True)
+    return True
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan (no job is run)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

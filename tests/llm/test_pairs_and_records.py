@@ -287,3 +287,25 @@ def test_components_of_long_chains(spark):
     assert got == {(1, i): 0 for i in range(60)} | {(2, i): 0 for i in range(41)} | {(2, 100): 100, (2, 101): 100}
     with pytest.raises(RuntimeError):
         names.components(edges, rounds=2)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_freed_checkpoints_leave_no_shuffle_of_a_plan_that_is_still_known(spark, adaptive):
+    from mnemora.runtime import checkpointed
+
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        other = spark.range(500).repartition(3).groupBy("id").count()
+        assert other.count() == len(other.collect()) == 500
+        others = [i for i in range(10_000) if tracker.containsShuffle(i)]
+        keyed = spark.range(1000).selectExpr("id % 10 as k", "id")
+        df = keyed.groupBy("k").count().join(keyed.groupBy("k").agg({"id": "max"}), "k")
+        held = df._jdf.queryExecution()
+        out = checkpointed(df, free=True)
+        if adaptive == "true":  # only there it's known which shuffles were the plan's
+            assert held.executedPlan().context().shuffleIds().size() >= 2
+            assert [i for i in range(10_000) if tracker.containsShuffle(i)] == others
+        assert out.count() == 10 and other.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
